@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import encode
+from millrace.llm import encode, fuse, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,44 @@ def query(sql: str | None = None):
 @query()
 def p8_ids(spark: SparkSession, data: str) -> DataFrame:
     return encode.encode_texts(table(spark, data, "documents", "doc_id", "text"))
+
+
+@query("""
+with best as (select query_id, retriever, chunk_id, max(score) as score from hits
+              where score is not null and not isnan(score) and query_id is not null and retriever is not null and chunk_id is not null
+              group by query_id, retriever, chunk_id)
+select query_id, retriever, chunk_id from best
+qualify row_number() over (partition by query_id, retriever order by score desc, chunk_id) <= 5
+""")
+def p3_found(spark: SparkSession, data: str) -> DataFrame:
+    hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score")
+    return topn.top_n(hits, ["query_id", "retriever"], "chunk_id", "score", 5).select("query_id", "retriever", "chunk_id")
+
+
+@query("""
+with best as (select query_id, chunk_id, max(score) as score from hits
+              where score is not null and not isnan(score) and query_id is not null and chunk_id is not null and retriever = 'dense'
+              group by query_id, chunk_id)
+select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from best
+qualify rank <= 10
+""")
+def p3_dense_top10(spark: SparkSession, data: str) -> DataFrame:
+    hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score").where("retriever = 'dense'")
+    return topn.top_n(hits, ["query_id"], "chunk_id", "score", 10)
+
+
+@query()
+def p4_found(spark: SparkSession, data: str) -> DataFrame:
+    return split.split_oversized(table(spark, data, "source_docs", "document_id", "content"), with_text=False)
+
+
+@query()
+def p4_pieces(spark: SparkSession, data: str) -> DataFrame:
+    return split.split_oversized(table(spark, data, "source_docs", "document_id", "content"))
+
+
+@query()
+def p5_found(spark: SparkSession, data: str) -> DataFrame:
+    wanted = table(spark, data, "fusion_queries", "query_id").distinct()
+    hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score").join(wanted, "query_id", "left_semi")
+    return fuse.ideal_point_ranking(hits, {"dense": 1.0, "bm25": 1.0, "cross_encoder": 1.0}, top=3).select("query_id", "chunk_id")
