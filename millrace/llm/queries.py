@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, split, topn
+from millrace.llm import encode, fuse, neighbours, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,19 @@ def p5_found(spark: SparkSession, data: str) -> DataFrame:
     wanted = table(spark, data, "fusion_queries", "query_id").distinct()
     hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score").join(wanted, "query_id", "left_semi")
     return fuse.ideal_point_ranking(hits, {"dense": 1.0, "bm25": 1.0, "cross_encoder": 1.0}, top=3).select("query_id", "chunk_id")
+
+
+@query()
+def p2_found(spark: SparkSession, data: str) -> DataFrame:
+    vectors = table(spark, data, "vectors", "chunk_id", "embedding")
+    probes = vectors.join(table(spark, data, "knn_probes", "chunk_id").distinct(), "chunk_id", "left_semi")
+    near = neighbours.nearest(probes, vectors, k=10)
+    return near.select(F.least("query", "neighbour").alias("chunk_id_a"), F.greatest("query", "neighbour").alias("chunk_id_b")).distinct()
+
+
+@query()
+def p2_knn(spark: SparkSession, data: str) -> DataFrame:
+    """Every row whose id is divisible by 100, against all rows."""
+    vectors = table(spark, data, "vectors", "chunk_id", "embedding")
+    asked = vectors.where(F.try_to_number(F.regexp_extract("chunk_id", r"(\d+)$", 1), F.lit("999999999999")) % 100 == 0)
+    return neighbours.nearest(asked, vectors, k=10)
