@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, neighbours, split, topn
+from millrace.llm import encode, fuse, mix, neighbours, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,18 @@ def p2_knn(spark: SparkSession, data: str) -> DataFrame:
     vectors = table(spark, data, "vectors", "chunk_id", "embedding")
     asked = vectors.where(F.try_to_number(F.regexp_extract("chunk_id", r"(\d+)$", 1), F.lit("999999999999")) % 100 == 0)
     return neighbours.nearest(asked, vectors, k=10)
+
+
+@query()
+def p9_found(spark: SparkSession, data: str) -> DataFrame:
+    return mix.short_sources(table(spark, data, "documents", "doc_id", "text", "lang", "source"), table(spark, data, "mix_targets"))
+
+
+@query()
+def p9_mixture(spark: SparkSession, data: str) -> DataFrame:
+    return mix.mixture(table(spark, data, "documents", "doc_id", "text", "lang", "source"), table(spark, data, "mix_targets"))
+
+
+@query()
+def p9_shares(spark: SparkSession, data: str) -> DataFrame:
+    return mix.mixture_shares(table(spark, data, "documents", "doc_id", "text", "lang", "source"), table(spark, data, "mix_targets"))
