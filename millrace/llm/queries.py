@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, mix, neighbours, split, topn
+from millrace.llm import encode, fuse, level, mix, neighbours, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,18 @@ def p9_mixture(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, data: str) -> DataFrame:
     return mix.mixture_shares(table(spark, data, "documents", "doc_id", "text", "lang", "source"), table(spark, data, "mix_targets"))
+
+
+@query()
+def p10_found(spark: SparkSession, data: str) -> DataFrame:
+    documents = table(spark, data, "documents", "doc_id", "text", "n_chars")
+    levels = level.reading_levels(documents, table(spark, data, "level_labels"))
+    long = documents.where("n_chars >= 200").select("doc_id")
+    return levels.join(long, "doc_id", "left_semi").where("band is not null").select("doc_id", "band")
+
+
+@query()
+def p10_profile(spark: SparkSession, data: str) -> DataFrame:
+    """Documents by language and band; documents without words have null for both."""
+    levels = level.reading_levels(table(spark, data, "documents", "doc_id", "text"), table(spark, data, "level_labels"))
+    return levels.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("level"))
