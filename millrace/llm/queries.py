@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, level, mix, neighbours, split, topn
+from millrace.llm import encode, fuse, level, mix, neardup, neighbours, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,14 @@ def p10_profile(spark: SparkSession, data: str) -> DataFrame:
     """Documents by language and band; documents without words have null for both."""
     levels = level.reading_levels(table(spark, data, "documents", "doc_id", "text"), table(spark, data, "level_labels"))
     return levels.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("level"))
+
+
+@query()
+def p7_found(spark: SparkSession, data: str) -> DataFrame:
+    pairs = neardup.near_pairs(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7)
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query()
+def p7_groups(spark: SparkSession, data: str) -> DataFrame:
+    return neardup.near_groups(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7)
