@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, level, mix, neardup, neighbours, split, topn
+from millrace.llm import encode, fuse, level, markup, mix, neardup, neighbours, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,18 @@ def p7_found(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p7_groups(spark: SparkSession, data: str) -> DataFrame:
     return neardup.near_groups(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7)
+
+
+@query()
+def p6_found(spark: SparkSession, data: str) -> DataFrame:
+    return markup.markup_elements(table(spark, data, "source_docs", "document_id", "content"))
+
+
+@query()
+def p6_clean_documents(spark: SparkSession, data: str) -> DataFrame:
+    return markup.clean_markup(table(spark, data, "source_docs", "document_id", "content"))
+
+
+@query()
+def p6_clean_chunks(spark: SparkSession, data: str) -> DataFrame:
+    return markup.clean_markup(table(spark, data, "chunks", "chunk_id", "content"), key="chunk_id")
