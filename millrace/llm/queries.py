@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import encode, fuse, level, markup, mix, neardup, neighbours, split, topn
+from millrace.llm import encode, fuse, level, markup, mix, neardup, neighbours, scan, split, topn
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,17 @@ def p6_clean_documents(spark: SparkSession, data: str) -> DataFrame:
 @query()
 def p6_clean_chunks(spark: SparkSession, data: str) -> DataFrame:
     return markup.clean_markup(table(spark, data, "chunks", "chunk_id", "content"), key="chunk_id")
+
+
+def _pages(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, data, "chunks", "chunk_id", "document_id", "page_number", "chunk_index", "splitter", "content"), table(spark, data, "source_docs", "document_id", "title")
+
+
+@query()
+def p1_found(spark: SparkSession, data: str) -> DataFrame:
+    return scan.line_defects(*_pages(spark, data))
+
+
+@query()
+def p1_paragraphs(spark: SparkSession, data: str) -> DataFrame:
+    return scan.page_paragraphs(*_pages(spark, data))
