@@ -54,7 +54,7 @@ def reject_reason(filename: Column, size: Column, most: int = MAX_UPLOAD_BYTES)
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """source_uri, content, size, content_hash of the files below a path."""
+    """source_uri, content, size, content_hash of the files below a path. Spark's file sources skip files without any byte."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return raw.select(F.col("path").alias("source_uri"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"))
 
