@@ -96,6 +96,7 @@ class Parsed:
 def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Block]]:
     """The text with a HOLE for each verbatim part, and the parts."""
     out, parts, at, look = [], [], 0, 0
+    unclosed: set[str] = set()  # marks that are not closed from here on: not looked for again
     while first := _VERBATIM_START.search(text, look):
         m = _VERBATIM.match(text, first.start())
         if not m or m["fence"] and text[text.rfind("\n", 0, m.start()) + 1 : m.start()] not in ("", " ", "  ", "   "):
@@ -104,6 +105,10 @@ def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Blo
                 look += 1
             continue
         start, begin = m.start(), m.end()
+        kind = (m["tag"] or m["env"] or m["open"] or m["comment"] or "").lower()
+        if kind and kind in unclosed:
+            look = begin
+            continue
         end = stop = -1
         label, markup = "code", "markdown"
         if m["fence"]:
@@ -124,7 +129,9 @@ def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Blo
             closing = _CLOSE[m["open"]]
             end = text.find(closing, begin)
             stop, label, markup = end + len(closing), "formula", "latex"
-            if end >= 0 and (not text[begin:end].strip() or "\n\n" in text[begin:end]):
+            if end < 0:
+                unclosed.add(kind)
+            elif (not text[begin:end].strip() or "\n\n" in text[begin:end]):
                 end = -1
         elif m["dollar"]:
             close = re.compile(r"(?<=[^\s\\$])\$(?![\d$])").search(text, begin, min(len(text), begin + 400))
@@ -145,6 +152,8 @@ def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Blo
             if "\n" in text[begin:end]:
                 end = -1
         if end < 0:  # never closed: the mark is ordinary text
+            if kind and not m["open"]:
+                unclosed.add(kind)
             look = begin
             continue
         elements.add((markup, label))
@@ -272,7 +281,7 @@ def parse(text: str | None) -> Parsed:
         return parsed
     rest, parts = _set_aside(text, found)
     if "<" in rest:
-        if _HTML_HEADING.search(rest):
+        if "</h" in rest.lower() and _HTML_HEADING.search(rest):
             found.add(("html", "heading"))
         if _HTML_LIST.search(rest):
             found.add(("html", "list"))

@@ -47,3 +47,5 @@ def test_tables_with_dirt(spark):
 
 def test_very_long_text_is_linear():
     assert parse("word " * 400_000 + "$5 " * 2000).elements == set()
+    assert parse("<pre> \\[ <!-- " * 50_000).elements == set()
+    assert ("markdown", "inline") not in parse("*a " * 50_000).elements
