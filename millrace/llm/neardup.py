@@ -35,7 +35,7 @@ GROUPS, BANDS, ROWS = 128, 40, 5
 LEAST_TOKENS = 30
 #: Points of a cell that are compared in one task; larger cells are split.
 BLOCK = 4096
-#: A class of exact copies up to this size is expanded into all pairs, a larger one into pairs with its smallest key.
+#: By default a class of exact copies up to this size is expanded into all pairs, a larger one into pairs with its smallest key.
 EXPANDED = 32
 #: Bits of the filter that spares re-reading texts without candidates; a fixed half megabyte.
 FILTER_BITS = 1 << 22
@@ -244,13 +244,13 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
 
 
-def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "content", threshold: float = 0.7) -> DataFrame:
+def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "content", threshold: float = 0.7, expanded: int | None = EXPANDED) -> DataFrame:
     """a, b (keys as strings, a < b): texts that share at least `threshold` of their distinct shingles.
 
     Texts below 30 tokens, null and blank ones, and rows with null keys are left out.
-    Repeated rows count once. Classes of more than EXPANDED exact copies stand in pairs
-    with other texts by their smallest key, and hold that key in a pair with each member. An
-    empty table gives an empty table.
+    Repeated rows count once. With `expanded` None all pairs come out, whatever the size of a class of equal
+    shingle sets. Else classes of more than `expanded` members stand in pairs with other texts by their smallest
+    key, and hold that key in a pair with each member. An empty table gives an empty table.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -259,12 +259,22 @@ def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "content", thre
     links = class_links(texts, found, threshold)
     members = found.select("cls", "id").distinct()
     classes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    named = members.join(classes, "cls").where((F.col("copies") <= EXPANDED) | (F.col("id") == F.col("first")))
-    one, two = (named.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
-    across = links.join(one, "a").join(two, "b").select("id_a", "id_b")
-    small = members.join(classes.where(f"copies between 2 and {EXPANDED}"), "cls")
-    within = small.select("cls", F.col("id").alias("id_a")).join(small.select("cls", F.col("id").alias("id_b")), "cls").where("id_a < id_b").select("id_a", "id_b")
-    star = members.join(classes.where(f"copies > {EXPANDED}"), "cls").where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    whole = F.lit(True) if expanded is None else F.col("copies") <= expanded
+    # members of a large class are split into blocks, so no task meets more than two blocks of a class
+    classes = classes.withColumn("blocks", F.when(whole, F.ceil(F.col("copies") / BLOCK)).otherwise(1).cast("int"))
+    named = members.join(classes, "cls").where(whole | (F.col("id") == F.col("first"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = classes.select("cls", F.sequence(F.lit(0), F.col("blocks") - 1).alias("each"))
+    across = links
+    for c in "ab":
+        across = across.join(sizes.withColumnRenamed("cls", c), c).withColumn(f"block_{c}", F.explode("each")).drop("each")
+    for c in "ab":
+        across = across.join(named.select(F.col("cls").alias(c), F.col("block").alias(f"block_{c}"), F.col("id").alias(f"id_{c}")), [c, f"block_{c}"])
+    across = across.select("id_a", "id_b")
+    several = named.where(whole & (F.col("copies") > 1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = several.select("cls", F.col("block").alias("block_a"), F.col("other").alias("block_b"), F.col("id").alias("id_a"))
+    two = several.select("cls", F.col("other").alias("block_a"), F.col("block").alias("block_b"), F.col("id").alias("id_b"))
+    within = one.join(two, ["cls", "block_a", "block_b"]).where("id_a < id_b").select("id_a", "id_b")
+    star = members.join(classes.where(~whole), "cls").where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
     every = across.unionByName(within).unionByName(star).where("id_a <> id_b")
     return every.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 

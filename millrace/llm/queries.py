@@ -120,7 +120,7 @@ def p10_profile(spark: SparkSession, data: str) -> DataFrame:
 
 @query()
 def p7_found(spark: SparkSession, data: str) -> DataFrame:
-    pairs = neardup.near_pairs(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7)
+    pairs = neardup.near_pairs(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7, expanded=None)
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import neardup
+from millrace.llm.queries import QUERIES
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -75,3 +76,14 @@ def test_empty_table_and_bad_threshold(spark):
     assert neardup.near_pairs(df).count() == 0 and neardup.near_groups(df).count() == 0
     with pytest.raises(ValueError):
         neardup.near_pairs(df, threshold=0)
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_query_gives_all_pairs_of_large_classes(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = " ".join(WORDS[:60])
+    rows = [(f"c{i:03}", (base, base.upper() + " !", base.replace(" ", ",  "))[i % 3]) for i in range(40)]
+    rows += [("near", base + " tail"), ("far", " ".join(WORDS[100:160]))]
+    spark.createDataFrame(rows, "chunk_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    found = [(r.chunk_id_a, r.chunk_id_b) for r in QUERIES["p7_found"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) == 41 * 40 // 2 and set(found) == brute(rows)
