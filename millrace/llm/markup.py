@@ -93,9 +93,13 @@ class Parsed:
     elements: set[tuple[str, str]] = field(default_factory=set)
 
 
+_CLOSING_DOLLAR = re.compile(r"(?<=[^\s\\$])\$(?![\d$])")
+
+
 def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Block]]:
     """The text with a HOLE for each verbatim part, and the parts."""
     out, parts, at, look = [], [], 0, 0
+    paragraph, dollar, plain = -1, None, -1  # end of the paragraph with the last dollar, the next closing one in it
     unclosed: set[str] = set()  # marks that are not closed from here on: not looked for again
     while first := _VERBATIM_START.search(text, look):
         m = _VERBATIM.match(text, first.start())
@@ -134,9 +138,18 @@ def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Blo
             elif (not text[begin:end].strip() or "\n\n" in text[begin:end]):
                 end = -1
         elif m["dollar"]:
-            close = re.compile(r"(?<=[^\s\\$])\$(?![\d$])").search(text, begin, min(len(text), begin + 400))
-            if close and "\n\n" not in text[begin : close.start()] and re.search(r"[\\^_=<>+{}]|^[A-Za-z]$", text[begin : close.start()]):
-                end, stop = close.span()
+            if begin > paragraph:
+                paragraph = text.find("\n\n", begin)
+                paragraph = len(text) if paragraph < 0 else paragraph
+                dollar = _CLOSING_DOLLAR.search(text, begin, paragraph)
+            elif dollar and dollar.start() < begin:
+                dollar = _CLOSING_DOLLAR.search(text, begin, paragraph)
+            # what was plain from an earlier dollar to this one isn't read again, unless a single letter is left
+            if dollar and (dollar.start() != plain or dollar.start() - begin == 1):
+                if re.search(r"[\\^_=<>+{}]|^[A-Za-z]$", text[begin : dollar.start()]):
+                    end, stop = dollar.span()
+                else:
+                    plain = dollar.start()
             label, markup = "formula", "latex"
         elif m["span"]:
             close = re.compile(rf"(?<!`){m['span']}(?!`)").search(text, begin)

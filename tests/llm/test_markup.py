@@ -49,3 +49,10 @@ def test_very_long_text_is_linear():
     assert parse("word " * 400_000 + "$5 " * 2000).elements == set()
     assert parse("<pre> \\[ <!-- " * 50_000).elements == set()
     assert ("markdown", "inline") not in parse("*a " * 50_000).elements
+
+
+def test_long_formulas_between_dollars():
+    formula = "$" + " + ".join(f"a_{{{i}}} *x* [[y]]" for i in range(60)) + "$"
+    assert len(formula) > 400 and parse(f"Let {formula} hold.").elements == {("latex", "formula")}
+    assert ("latex", "formula") not in parse(formula[:-1] + "\n\nand more x$").elements
+    assert parse("$5 " * 50_000 + "$x " * 50_000 + "y$ and $n$").elements == {("latex", "formula")}
