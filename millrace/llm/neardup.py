@@ -92,6 +92,12 @@ def _signatures(pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+def _classes(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of each text's shingle set; every text has some."""
+    mixed = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
+
+
 def _lists(values: np.ndarray, width: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * width, pa.int32()), pa.array(values.ravel()))
 
@@ -113,8 +119,7 @@ def points(texts: DataFrame) -> DataFrame:
                     continue
                 n = n[rows]
                 starts = np.cumsum(n) - n
-                mixed = (pair ^ (pair >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                cls = (np.add.reduceat(mixed ^ (mixed >> np.uint64(27)), starts) + n.astype(np.uint64)).view(np.int64)
+                cls = _classes(pair, n)
                 place = np.repeat(np.arange(len(rows)), n) * GROUPS + (pair >> np.uint64(40)).astype(np.int64) % GROUPS
                 counts = np.minimum(np.bincount(place, minlength=len(rows) * GROUPS), 255).astype(np.uint8).reshape(-1, GROUPS)
                 fresh = np.zeros(len(rows), bool)
@@ -229,11 +234,16 @@ def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFra
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 pair, n = shingles(part.column(1).to_pylist())
+                rows = np.flatnonzero(n)
+                if not len(rows):
+                    continue
+                n = n[rows]
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(pair.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(_classes(pair, n)), sets], names=["id", "cls", "s"])
 
-    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(again, "id string, s array<bigint>")
-    sets = sets.where("size(s) > 0").join(ends, "id").groupBy("cls").agg(F.first("s").alias("s"))
+    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(again, "id string, cls bigint, s array<bigint>")
+    # an id may come with several contents: only the one of the class that it stands for
+    sets = sets.join(ends, ["id", "cls"]).groupBy("cls").agg(F.first("s").alias("s"))
     both = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     both = both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))

@@ -87,3 +87,10 @@ def test_query_gives_all_pairs_of_large_classes(spark, monkeypatch, tmp_path, bl
     spark.createDataFrame(rows, "chunk_id string, content string").write.parquet(f"{tmp_path}/chunks.parquet")
     found = [(r.chunk_id_a, r.chunk_id_b) for r in QUERIES["p7_found"](spark, str(tmp_path)).collect()]
     assert len(found) == len(set(found)) == 41 * 40 // 2 and set(found) == brute(rows)
+
+
+def test_one_key_with_two_contents(spark):
+    one, two = WORDS[:60], WORDS[100:160]
+    rows = [("a", " ".join(one)), ("a", " ".join(two)), ("b", " ".join([*one, "tail"])), ("c", " ".join([*two, "tail"]))]
+    df = spark.createDataFrame(rows * 2, "chunk_id string, content string").coalesce(1)
+    assert {(r.a, r.b) for r in neardup.near_pairs(df).collect()} == {("a", "b"), ("a", "c")}
