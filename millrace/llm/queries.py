@@ -44,15 +44,15 @@ def p3_found(spark: SparkSession, data: str) -> DataFrame:
 
 
 @query("""
-with best as (select query_id, chunk_id, max(score) as score from hits
-              where score is not null and not isnan(score) and query_id is not null and chunk_id is not null and retriever = 'dense'
-              group by query_id, chunk_id)
-select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from best
+with best as (select query_id, retriever, chunk_id, max(score) as score from hits
+              where score is not null and not isnan(score) and query_id is not null and retriever is not null and chunk_id is not null
+              group by query_id, retriever, chunk_id)
+select query_id, retriever, chunk_id, score, cast(row_number() over (partition by query_id, retriever order by score desc, chunk_id) as int) as rank from best
 qualify rank <= 10
 """)
-def p3_dense_top10(spark: SparkSession, data: str) -> DataFrame:
-    hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score").where("retriever = 'dense'")
-    return topn.top_n(hits, ["query_id"], "chunk_id", "score", 10)
+def p3_top10(spark: SparkSession, data: str) -> DataFrame:
+    hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score")
+    return topn.top_n(hits, ["query_id", "retriever"], "chunk_id", "score", 10)
 
 
 @query()

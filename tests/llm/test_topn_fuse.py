@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.fuse import ideal_point_ranking
-from millrace.llm.topn import top_n
+from millrace.llm.topn import heavy_groups, top_n
 
 
 def brute(rows, n):
@@ -27,6 +27,15 @@ def test_hot_and_cold_agree_with_brute_force(spark, hot_rows):
     assert top_n(df.limit(0), ["g"], "c", "s", 5).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_groups", [10**6, 100])
+def test_every_group_above_the_limit_is_hot(spark, broadcast_groups):
+    # none of the 1,500 groups holds a thousandth of the rows
+    df = spark.range(1500 * 30).select(F.format_string("g%d", F.col("id") % 1500).alias("g"), F.format_string("c%d", (F.col("id") / 1500).cast("int") % 21).alias("c"), (F.col("id") * 7919 % 17).cast("double").alias("s"))
+    assert heavy_groups(df, ["g"], 20).count() == 1500 and heavy_groups(df, ["g"], 30).count() == 0
+    found = top_n(df, ["g"], "c", "s", 3, hot_rows=20, broadcast_groups=broadcast_groups).collect()
+    assert sorted(map(tuple, found)) == brute([tuple(r) for r in df.collect()], 3)
+
+
 def test_top_n_needs_a_positive_n(spark):
     with pytest.raises(ValueError):
         top_n(spark.range(1).toDF("g"), ["g"], "g", "g", 0)
