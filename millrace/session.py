@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,6 +23,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, driver_memory: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,14 +33,19 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, driver_memory: str
 def durable(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage by a checkpoint in the cluster's shared folder.
 
-    The folder is `spark.checkpoint.dir` of the session. Only where that is unset,
-    as in local tests, a temporary folder of this machine stands in for it.
+    The folder is `spark.checkpoint.dir` of the session. Where that is unset, a session
+    in one process (as in tests) gets a temporary folder that goes with it; on a
+    cluster that is an error, since no other machine could read such a folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+            folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
