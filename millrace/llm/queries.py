@@ -65,11 +65,34 @@ def p4_pieces(spark: SparkSession, data: str) -> DataFrame:
     return split.split_oversized(table(spark, data, "source_docs", "document_id", "content"))
 
 
-@query()
+_POINTS = """
+with best as (select query_id as q, retriever as r, chunk_id as c, max(score) as x from hits semi join fusion_queries using (query_id)
+              where retriever in ('dense', 'bm25', 'cross_encoder') and score is not null and not isnan(score) and chunk_id is not null group by 1, 2, 3),
+p as (select q, r, quantile_disc(x, 0.25) as a, quantile_disc(x, 0.75) as b, min(x) as least, max(x) as most from best group by 1, 2),
+f as (select q, r, case when b > a then greatest(least, a - 3 * (b - a)) else least end as low, case when b > a then least(most, b + 3 * (b - a)) else most end as high from p),
+d as (select q, r, c, case when high > low then least(greatest(x, low), high) - low else 1.0 end as x from best join f using (q, r)),
+axes as (select q, r, sqrt(count(*)) as weight, sqrt(sum(x * x)) as norm, sqrt(count(*)) * max(x) / sqrt(sum(x * x)) as ideal from d group by 1, 2),
+every as (select q, c, r, weight, norm, ideal from (select distinct q, c from d) join axes using (q)),
+v as (select q, c, ideal, coalesce(weight * (x / norm), 0) as v from every left join d using (q, r, c)),
+s as (select q, c, sqrt(sum(v * v)) as gone, sqrt(sum((ideal - v) * (ideal - v))) as near from v group by 1, 2)
+"""
+
+
+@query(f"""{_POINTS} select q as query_id, c as chunk_id from s qualify row_number() over (partition by q order by round(gone / (gone + near), 9) desc, c) <= 3""")
 def p5_found(spark: SparkSession, data: str) -> DataFrame:
+    return _fused(spark, data).select("query_id", "chunk_id")
+
+
+@query(f"""{_POINTS} select q as query_id, c as chunk_id, round(gone / (gone + near), 6) as closeness, cast(row_number() over (partition by q order by round(gone / (gone + near), 9) desc, c) as int) as position from s qualify position <= 3""")
+def p5_ranking(spark: SparkSession, data: str) -> DataFrame:
+    """The same with closeness and position."""
+    return _fused(spark, data).select("query_id", "chunk_id", F.round("closeness", 6).alias("closeness"), "position")
+
+
+def _fused(spark: SparkSession, data: str) -> DataFrame:
     wanted = table(spark, data, "fusion_queries", "query_id").distinct()
     hits = table(spark, data, "hits", "query_id", "retriever", "chunk_id", "score").join(wanted, "query_id", "left_semi")
-    return fuse.ideal_point_ranking(hits, {"dense": 1.0, "bm25": 1.0, "cross_encoder": 1.0}, top=3).select("query_id", "chunk_id")
+    return fuse.ideal_point_ranking(hits, {"dense": 1.0, "bm25": 1.0, "cross_encoder": 1.0}, top=3)
 
 
 @query()

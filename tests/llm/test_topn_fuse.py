@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +55,48 @@ def test_outliers_and_ranges_do_not_dominate(spark):
     assert [r.position for r in ranked] == list(range(1, len(ranked) + 1))
 
 
+def closeness(rows, weights):
+    """The ranking written anew over plain lists."""
+    lists = {r: {} for r in weights}
+    for c, r, x in rows:
+        if r in lists and x is not None and x == x:
+            lists[r][c] = max(x, lists[r].get(c, -math.inf))
+    axes = {}
+    for r, m in lists.items():
+        x = sorted(m.values())
+        if not x:
+            continue
+        a, b = x[math.ceil(len(x) / 4) - 1], x[math.ceil(3 * len(x) / 4) - 1]
+        low, high = (max(x[0], a - 3 * (b - a)), min(x[-1], b + 3 * (b - a))) if b > a else (x[0], x[-1])
+        m = {c: min(max(v, low), high) - low if high > low else 1.0 for c, v in m.items()}
+        norm = math.sqrt(sum(v * v for v in m.values()))
+        axes[r] = {c: weights[r] * math.sqrt(len(m)) * v / norm for c, v in m.items()}
+    ideal = [max(m.values()) for m in axes.values()]
+    out = []
+    for c in {c for m in axes.values() for c in m}:
+        v = [m.get(c, 0.0) for m in axes.values()]
+        anti, near = math.hypot(*v), math.dist(v, ideal)
+        out.append((-round(anti / (anti + near), 9), c))
+    return [(c, -x) for x, c in sorted(out)]
+
+
+def test_ranking_agrees_with_plain_lists(spark):
+    rng = random.Random(3)
+    rows = [(f"c{rng.randrange(60):02}", r, s) for r, f in (("dense", lambda: rng.random()), ("bm25", lambda: rng.expovariate(0.1)), ("cross_encoder", lambda: rng.gauss(0, 5))) for s in [f() for _ in range(50)]]
+    rows += [("c01", "bm25", 900.0), ("c02", "rrf", 5.0), ("c03", "dense", None)]
+    df = spark.createDataFrame([("q", *r) for r in rows], "query_id string, chunk_id string, retriever string, score double")
+    weights = {"dense": 1.0, "bm25": 1.0, "cross_encoder": 2.0}
+    assert [(r.chunk_id, r.closeness) for r in ideal_point_ranking(df, weights).orderBy("position").collect()] == [(c, pytest.approx(x, abs=2e-9)) for c, x in closeness(rows, weights)]
+    # another unit, origin or length of a list does not change what it says
+    moved = df.withColumn("score", F.when(F.col("retriever") == "bm25", F.col("score") * 1000 - 7).otherwise(F.col("score")))
+    assert [r.chunk_id for r in ideal_point_ranking(moved, weights).orderBy("position").collect()] == [c for c, _ in closeness(rows, weights)]
+
+
+def test_infinite_scores_are_drawn_in(spark):
+    df = spark.createDataFrame([("q", f"c{i}", "dense", s) for i, s in enumerate((0.1, 0.2, 0.3, float("inf"), float("-inf")))] + [("p", "c", "dense", float("inf"))], "query_id string, chunk_id string, retriever string, score double")
+    assert [(r.query_id, r.chunk_id) for r in ideal_point_ranking(df, {"dense": 1.0}).orderBy("query_id", "position").collect()] == [("p", "c"), ("q", "c2"), ("q", "c3"), ("q", "c1"), ("q", "c0"), ("q", "c4")]
+
+
 def test_equal_scores_and_empty_tables(spark):
     df = spark.createDataFrame([("q", "b", "dense", 1.0), ("q", "a", "dense", 1.0)], "query_id string, chunk_id string, retriever string, score double")
     assert [(r.chunk_id, r.closeness) for r in ideal_point_ranking(df, {"dense": 1.0}).orderBy("position").collect()] == [("a", 1.0), ("b", 1.0)]
