@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from millrace.llm import level, mix
 
@@ -45,6 +46,36 @@ def test_shares_and_empty_tables(spark):
     assert mix.mixture(docs.limit(0), targets).count() == 0
 
 
+def test_short_sources_are_what_the_fit_leaves_open(spark, monkeypatch):
+    docs, targets = corpus(spark)
+    monkeypatch.setattr(mix, "rake", lambda tokens, caps, members, goals: np.zeros(len(tokens)))
+    assert {r.source for r in mix.short_sources(docs, targets).collect()} == {"big", "small", "absent", "copy"}
+
+
+def test_drawn_shares_come_near_their_targets(spark):
+    rows = [(i, f"text number {i} has some {'more ' * (i % 9)}words", ("en", "de", None)[i % 3], ("a", "b", "c")[min(2, i % 7)], "") for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("A", 0.5, 5), ("b", 0.3, 5), ("c", 0.2, 5)], TARGETS)
+    assert not mix.short_sources(docs, targets).count()
+    for r in mix.mixture_shares(docs, targets).collect():
+        assert abs(r.share - r.target_share) < 0.02
+
+
+def test_topics_tell_kinds_of_text_apart(spark):
+    kinds = ("the queue of the cache holds the index of the registry", "my aunt bakes bread and sweet cakes on Sunday morning")
+    docs = spark.createDataFrame([(i, f"{kinds[i % 2]} {i}", "en", "a", "") for i in range(400)], DOCS)
+    rows = mix.sized_documents(docs, spark.createDataFrame([("a", 1.0, 1)], TARGETS)).collect()
+    topics = [{r.topic for r in rows if r.doc_id % 2 == k} for k in (0, 1)]
+    assert not topics[0] & topics[1] and all(t.startswith("en-") for t in topics[0] | topics[1])
+
+
+def test_too_many_targets_are_refused(spark):
+    docs, _ = corpus(spark)
+    targets = spark.range(mix.MAX_SOURCES + 1).selectExpr("concat('s', id) as source", "1e-5D as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError):
+        mix.short_sources(docs, targets)
+
+
 def test_rake_fits_the_margins():
     tokens = np.array([100.0, 300.0, 200.0, 400.0])
     uses = mix.rake(tokens, np.full(4, 5.0), [np.array([0, 1, 0, 1]), np.array([0, 0, 1, 1])], [np.array([400.0, 600.0]), np.array([700.0, 300.0])])
