@@ -3,18 +3,20 @@
 Count-vector R-tree. The distinct pairs of adjacent tokens of a text (its
 shingles) are hashed into GROUPS groups; a text is the point of its group counts.
 The overlap of two texts cannot exceed the sum of the smaller counts, group by
-group, and for a box of points the sum over its upper corner. With 128 groups this
+group, and for boxes of points the sum over their upper corners. With 128 groups this
 bound leaves hardly any false pair, but boxes of unrelated texts overlap in so many
 dimensions that a tree over all points would have to be searched everywhere. So the
 upper levels of the tree are cells of equal minima (BANDS signatures of ROWS
-minhashes each) instead of boxes; pages of points with their boxes exist within a
-cell. A pair of similarity 0.7 misses all cells with probability
-(1 - 0.7^5)^40 = 0.0006, one of 0.8 with 1e-7.
+minhashes each) instead of boxes; the points of a cell are packed into a tree of
+pages and boxes, sort-tile order, which is joined with itself level by level. A pair of
+similarity 0.7 misses all cells with probability (1 - 0.7^5)^40 = 0.0006, one of
+0.8 with 1e-7.
 
 Exact copies (equal shingle sets) are folded to classes before cells are formed.
-Cells that hold very many points are split into a triangle of block pairs, so no
-task meets more than two blocks. Surviving pairs are verified on the
-shingles themselves.
+Cells are counted by aggregation, and what a cell is known to hold goes back to its
+rows by a salted join, so a cell of very many points never meets in one task: it
+is split into a triangle of block pairs, and no task meets more than two blocks.
+Surviving pairs are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ LEAST_TOKENS = 30
 BLOCK = 4096
 #: By default a class of exact copies up to this size is expanded into all pairs, a larger one into pairs with its smallest key.
 EXPANDED = 32
-#: Bits of the filter that spares re-reading texts without candidates; a fixed half megabyte.
-FILTER_BITS = 1 << 22
+#: Bits of the filter that spares re-reading texts without candidates: 16 for each text that has one, up to 16 MB. Beyond that the texts are joined.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 27
+#: Tasks that share the rows of one key in a join.
+SALTS = 8
 WORDS_KEPT = 1_000_000
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
@@ -142,36 +146,51 @@ def points(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id string, cls bigint, n int, counts binary, bands array<bigint>")
 
 
-def page_pairs(n: np.ndarray, counts: np.ndarray, threshold: float, page: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points whose summed minima allow `threshold`; found page by page, boxes first. Counts of 255 are unbounded."""
-    share = threshold / (1 + threshold)
+def _packed(n: np.ndarray, counts: np.ndarray, page: int) -> np.ndarray:
+    """Points in sort-tile order: slices of like size, within a slice by a fixed random direction, so that a page's points are alike."""
     order = np.argsort(n, kind="stable")
-    n, counts = n[order], np.where(counts == 255, 60_000, counts).astype(np.int32)[order]
-    begin = np.arange(0, len(n), page)
-    upper = np.maximum.reduceat(counts, begin, axis=0)
-    least, most = n[begin], n[np.minimum(begin + page, len(n)) - 1]
-    left, right = [], []
-    for i, a in enumerate(begin):
-        # sizes ascend: pages whose smallest is too large for this page's largest end the search
-        last = int(np.searchsorted(least, most[i] / threshold + 1e-9, side="right"))
-        bound = np.minimum(upper[i], upper[i:last]).sum(1)
-        for j in i + np.flatnonzero(bound >= share * (least[i] + least[i:last]) - 1e-9):
-            b = begin[j]
-            p, q = counts[a : a + page], counts[b : b + page]
-            fits = np.minimum(p[:, None, :], q[None, :, :]).sum(2) >= share * (n[a : a + page, None] + n[None, b : b + page]) - 1e-9
-            if i == j:
-                fits = np.triu(fits, 1)
-            x, y = np.nonzero(fits)
-            left.append(order[a + x]), right.append(order[b + y])
-    if not left:
+    width = page * max(1, int(np.ceil(np.sqrt(len(n) / page))))
+    along = counts @ np.random.default_rng(4).normal(size=counts.shape[1])
+    return np.concatenate([part[np.argsort(along[part], kind="stable")] for part in np.split(order, range(width, len(n), width))])
+
+
+def page_pairs(n: np.ndarray, counts: np.ndarray, threshold: float, page: int = 32, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points whose summed minima allow `threshold`: the packed tree joined with itself from the root down. Counts of 255 are unbounded."""
+    share = threshold / (1 + threshold)
+    counts = np.where(counts == 255, 60_000, counts).astype(np.int32)
+    order = _packed(n, counts, page) if len(n) > page else np.arange(len(n))
+    n, counts = n[order], counts[order]
+    levels = [(n, n, counts)]  # least size, most size and upper corner of each node, points first
+    while len(levels[-1][0]) > 1:
+        least, most, upper = levels[-1]
+        begin = np.arange(0, len(least), page if len(levels) == 1 else fan)
+        levels.append((np.minimum.reduceat(least, begin), np.maximum.reduceat(most, begin), np.maximum.reduceat(upper, begin, axis=0)))
+    i = j = np.zeros(1, np.int64)
+    for level in range(len(levels) - 2, -1, -1):
+        least, most, upper = levels[level]
+        width = page if level == 0 else fan
+        step = max(1, 200_000 // (width * width))
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for at in range(0, len(i), step):
+            x = i[at : at + step, None] * width + np.arange(width)
+            y = j[at : at + step, None] * width + np.arange(width)
+            x, y = (np.broadcast_to(v, (len(x), width, width)).ravel() for v in (x[:, :, None], y[:, None, :]))
+            fits = (x < len(least)) & (y < len(least)) & ((x < y) if level == 0 else (x <= y))
+            x, y = x[fits], y[fits]
+            fits = (least[y] * threshold <= most[x] + 1e-9) & (least[x] * threshold <= most[y] + 1e-9)
+            x, y = x[fits], y[fits]
+            fits = np.minimum(upper[x], upper[y]).sum(1) >= share * (least[x] + least[y]) - 1e-9
+            kept.append((x[fits], y[fits]))
+        i, j = (np.concatenate(v) for v in zip(*kept))
+    if len(levels) == 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    return order[i], order[j]
 
 
 def _cell_pairs(cells: DataFrame, threshold: float) -> DataFrame:
-    """a, b (classes, a < b) of the candidate pairs of each cell; cells come sorted, one after another."""
+    """a, b (classes, a < b) of the candidate pairs of different families in each cell; cells (cell, cls, family, n, counts) come sorted, one after another."""
 
-    def pairs(cls: np.ndarray, n: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    def pairs(cls: np.ndarray, family: np.ndarray, n: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         size = np.diff(bounds)
         two = bounds[:-1][size == 2]  # most cells: all at once
@@ -182,7 +201,9 @@ def _cell_pairs(cells: DataFrame, threshold: float) -> DataFrame:
         for a, b in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
             x, y = page_pairs(n[a:b], counts[a:b], threshold)
             left.append(a + x), right.append(a + y)
-        i, j = cls[np.concatenate(left)], cls[np.concatenate(right)]
+        i, j = np.concatenate(left), np.concatenate(right)
+        other = family[i] != family[j]
+        i, j = cls[i[other]], cls[j[other]]
         pair = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
@@ -191,46 +212,81 @@ def _cell_pairs(cells: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, cls, n = (batch.column(i).to_numpy() for i in range(3))
-            counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, GROUPS)
+            columns = [batch.column(i).to_numpy() for i in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, GROUPS)]
             if rest:
-                cell, cls, n, counts = (np.concatenate([old, new]) for old, new in zip(rest, (cell, cls, n, counts)))
-            edges = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
+            edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             done = int(edges[-1]) if len(edges) else 0
             if done:
-                yield pairs(cls[:done], n[:done], counts[:done], np.concatenate([[0], edges]))
-            rest = (cell[done:], cls[done:], n[done:], counts[done:])
+                yield pairs(*(c[:done] for c in columns[1:]), np.concatenate([[0], edges]))
+            rest = [c[done:] for c in columns]
         if rest:
             yield pairs(*rest[1:], np.array([0, len(rest[0])]))
 
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of the classes of `found` (points of `texts`: id, text) that reach the threshold."""
-    spark = texts.sparkSession
-    classes = found.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("p")).select("cls", "p.*")
-    routed = found.select("cls", F.explode("bands").alias("key")).repartition("key").groupBy("key", "cls").agg(F.lit(1).alias("one"))
-    routed = routed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").select("key", "cls", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    routed = routed.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    cells = routed.select(cell.alias("cell"), "cls").join(classes.select("cls", "n", "counts"), "cls").select("cell", "cls", "n", "counts")
-    cells = cells.repartition("cell").sortWithinPartitions("cell")
-    candidates = durable(_cell_pairs(cells, threshold).distinct())
+def _salted(rows: DataFrame, spread: str, known: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `known`, which has one row for each key; the rows of one key are dealt to SALTS tasks by `spread`."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
+
+
+def _keyed(found: DataFrame) -> DataFrame:
+    """key, cls: the cells of each class, once; dealt by both, so a popular cell is not one task's."""
+    return found.select("cls", F.explode("bands").alias("key")).groupBy("key", "cls").agg(F.lit(1).alias("one")).select("key", "cls")
 
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls")
-    ends = durable(ends)
-    # at most FILTER_BITS numbers, packed to bits
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[ends.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True
-    sieve = spark.sparkContext.broadcast(np.packbits(bits))
+
+def _in_cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    cells = rows.join(classes.select("cls", "family", "n", "counts"), "cls").select("cell", "cls", "family", "n", "counts")
+    return cells.repartition("cell").sortWithinPartitions("cell")
+
+
+def _cell_candidates(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of different families within all cells. Cells of one family only are passed over."""
+    keyed = keyed.join(classes.select("cls", "family"), "cls") if "family" not in keyed.columns else keyed
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("key", "size")
+    routed = _salted(keyed.select("key", "cls"), "cls", sizes, "key")
+    routed = routed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return _cell_pairs(_in_cells(routed.select(cell.alias("cell"), "cls"), classes), threshold).distinct()
+
+
+def _hub_candidates(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of each class and the smallest one of each of its cells: at most BANDS a class."""
+    hubs = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("most")).where("hub < most").select("key", "hub")
+    pairs = _salted(keyed, "cls", hubs, "key").where("cls <> hub").select("hub", "cls").distinct()
+    pairs = pairs.select(F.xxhash64("hub", "cls").alias("cell"), F.explode(F.array("hub", "cls")).alias("cls"))
+    return _cell_pairs(_in_cells(pairs, classes), threshold).distinct()
+
+
+def _sieve(ends: DataFrame, bits: int) -> np.ndarray:
+    """A filter of `bits` bits with those of the ids in `ends`, put together as bitmaps of 32,768 bits."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ends.select((bit / 32768).cast("int").alias("place"), (bit % 32768).alias("bit")).groupBy("place").agg(F.bitmap_construct_agg("bit").alias("map")).toArrow()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for place, bitmap in zip(maps["place"].to_pylist(), maps["map"].to_pylist()):
+        out[place] = np.frombuffer(bitmap, np.uint8)
+    return out.ravel()
+
+
+def _verified(texts: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of the candidates that reach the threshold, by the shingles of the texts that stand for their classes."""
+    candidates = durable(candidates)
+    ends = durable(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls"))
+    wanted = ends.count()
+    bits = max(LEAST_BITS, 1 << (16 * wanted).bit_length())
+    if bits <= MOST_BITS:
+        sieve = texts.sparkSession.sparkContext.broadcast(_sieve(ends, bits))
+    else:
+        sieve, texts = None, texts.join(ends.select("id").distinct(), "id", "left_semi")
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = np.unpackbits(sieve.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(open_[batch.column(2).to_numpy()]))
+            if sieve is not None:
+                bit = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((sieve.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 pair, n = shingles(part.column(1).to_pylist())
@@ -241,7 +297,7 @@ def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFra
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(pair.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(_classes(pair, n)), sets], names=["id", "cls", "s"])
 
-    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(again, "id string, cls bigint, s array<bigint>")
+    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(again, "id string, cls bigint, s array<bigint>")
     # an id may come with several contents: only the one of the class that it stands for
     sets = sets.join(ends, ["id", "cls"]).groupBy("cls").agg(F.first("s").alias("s"))
     both = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
@@ -250,6 +306,36 @@ def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFra
     return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def _class_points(found: DataFrame) -> DataFrame:
+    """cls, id, n and counts of each class, by the smallest of its ids; each its own family."""
+    return found.groupBy("cls").agg(F.min(F.struct("id", "n", "counts")).alias("p")).select("cls", "p.*", F.col("cls").alias("family"))
+
+
+def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of all pairs of classes of `found` (points of `texts`: id, text) that reach the threshold."""
+    classes = _class_points(found)
+    keyed = _keyed(found)
+    return _verified(texts, classes, _cell_candidates(keyed.withColumn("family", F.col("cls")), classes, threshold), threshold)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """cls, label (smallest class of its component) of each class in `links` (a, b).
+
+    Labels go to the smallest neighbour, then to that one's own label, until none changes; each round is a written
+    table. Classes that very many others are linked to, and labels that very many have, are joined salted.
+    """
+    edges = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls"))
+    while True:
+        near = _salted(edges.select("a", F.col("b").alias("cls")), "a", labels, "cls").groupBy("a").agg(F.min("label").alias("near"))
+        step = durable(labels.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed")))
+        if step.where("changed").isEmpty():
+            return step.select("cls", "label")
+        used = step.select("label").distinct()
+        jump = step.select(F.col("cls").alias("label"), F.col("label").alias("further")).join(used, "label", "left_semi")
+        labels = durable(_salted(step.select("cls", "label"), "cls", jump, "label").select("cls", F.least("label", "further").alias("label")))
+
+
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
 
@@ -290,29 +376,27 @@ def near_pairs(df: DataFrame, key: str = "chunk_id", text: str = "content", thre
 
 
 def near_groups(df: DataFrame, key: str = "chunk_id", text: str = "content", threshold: float = 0.7) -> DataFrame:
-    """id, group_id (smallest key of its group), copies (exact ones, itself included), links (to other classes) of each text long enough.
+    """id, group_id (smallest key of its group), copies (texts of its shingle set, itself included) of each text long enough.
 
-    Groups are connected components of classes over the links, by labels that go to the
-    smallest neighbour until none changes; each round is cut by a checkpoint.
+    Groups are connected components of classes over the links, found in two steps, so that a family of very many
+    near copies is not listed pair by pair: links of each class to the smallest class of each of its cells make
+    families first; then only pairs of different families are searched. Texts below 30 tokens, null and blank ones, and rows
+    with null keys are left out. A key with several contents has a row for each of their groups.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
     texts = _prepared(df, key, text)
     found = durable(points(texts))
+    classes, keyed = _class_points(found), _keyed(found)
+    stars = durable(_verified(texts, classes, _hub_candidates(keyed, classes, threshold), threshold).select("a", "b"))
+    families = components(stars)
+    related = classes.drop("family").join(families.withColumnRenamed("label", "family"), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
+    others = durable(_verified(texts, related, _cell_candidates(keyed, related, threshold), threshold).select("a", "b"))
+    labels = families if others.isEmpty() else components(stars.unionByName(others))
+
     members = found.select("cls", "id").distinct()
-    links = class_links(texts, found, threshold).select("a", "b")
-    edges = durable(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = durable(edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")))
-    while True:
-        near = edges.join(labels, edges.b == labels.cls).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.cls == near.a).select("cls", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed"))
-        # a label's own label: halves the way to the smallest
-        jump = step.select(F.col("cls").alias("label"), F.col("label").alias("further"))
-        step = durable(step.join(jump, "label", "left").select("cls", F.least("label", F.coalesce("further", "label")).alias("label"), "changed"))
-        labels = step.select("cls", "label")
-        if step.where("changed").isEmpty():
-            break
-    degree = edges.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "cls")
-    classes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    classes = classes.join(labels, "cls", "left").join(degree, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    names = classes.groupBy("label").agg(F.min("first").alias("group_id"))
-    classes = classes.join(names, "label").select("cls", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(classes, "cls").select("id", "group_id", "copies", "links")
+    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    sizes = sizes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    names = sizes.groupBy("label").agg(F.min("first").alias("group_id"))
+    sizes = _salted(sizes, "cls", names, "label").select("cls", "group_id", "copies")
+    return _salted(members, "id", sizes, "cls").select("id", "group_id", "copies").distinct()

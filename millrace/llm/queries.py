@@ -141,7 +141,15 @@ def p10_profile(spark: SparkSession, data: str) -> DataFrame:
     return levels.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("level"))
 
 
-@query()
+@query("""
+with w as (select distinct chunk_id, content, list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+|[一-鿿]'), lambda x: lower(x)) as w from chunks where chunk_id is not null),
+t as (select row_number() over () as t, chunk_id, w from w where len(w) >= 30),
+s as (select t, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as s from t),
+n as (select t, count(*) as n from s group by 1),
+p as (select a.t as a, b.t as b, count(*) as shared from s a join s b on a.s = b.s and a.t < b.t group by 1, 2),
+k as (select a, b from p join n x on a = x.t join n y on b = y.t where shared >= 0.7 * (x.n + y.n - shared) - 1e-9)
+select distinct least(x.chunk_id, y.chunk_id) as chunk_id_a, greatest(x.chunk_id, y.chunk_id) as chunk_id_b from k join t x on a = x.t join t y on b = y.t where x.chunk_id <> y.chunk_id
+""")
 def p7_found(spark: SparkSession, data: str) -> DataFrame:
     pairs = neardup.near_pairs(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7, expanded=None)
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))

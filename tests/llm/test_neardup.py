@@ -58,15 +58,17 @@ def test_many_copies_make_a_star_and_groups(spark):
     assert found == {("c000", f"c{i:03}") for i in range(1, 100)} | {("c000", "near")}
     groups = {r.id: r for r in neardup.near_groups(df).collect()}
     assert {g.group_id for k, g in groups.items() if k != "far"} == {"c000"} and groups["far"].group_id == "far"
-    assert groups["c005"].copies == 100 and groups["c005"].links == 1 and groups["far"].links == 0
+    assert groups["c005"].copies == 100 and groups["near"].copies == 1
 
 
-def test_pages_lose_no_pair():
+@pytest.mark.parametrize("page,fan", [(8, 2), (8, 3), (4, 8), (32, 8), (1000, 8)])
+def test_pages_lose_no_pair(page, fan):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 3, (40, neardup.GROUPS))
     counts = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < p), 0) for p in (0, 0.1, 0.3)]).astype(np.uint8)
     n = counts.sum(1).astype(int)
-    x, y = neardup.page_pairs(n, counts, 0.7, page=8)
+    x, y = neardup.page_pairs(n, counts, 0.7, page=page, fan=fan)
+    assert len(set(zip(x.tolist(), y.tolist()))) == len(x)
     fits = {(i, j) for i in range(len(n)) for j in range(i) if np.minimum(counts[i], counts[j]).sum() >= 0.7 / 1.7 * (n[i] + n[j]) - 1e-9}
     assert {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} == fits
 
@@ -94,3 +96,37 @@ def test_one_key_with_two_contents(spark):
     rows = [("a", " ".join(one)), ("a", " ".join(two)), ("b", " ".join([*one, "tail"])), ("c", " ".join([*two, "tail"]))]
     df = spark.createDataFrame(rows * 2, "chunk_id string, content string").coalesce(1)
     assert {(r.a, r.b) for r in neardup.near_pairs(df).collect()} == {("a", "b"), ("a", "c")}
+
+
+def test_groups_are_the_components_of_all_pairs(spark, monkeypatch):
+    rows = records(8)
+    rng = random.Random(1)
+    chain = [[rng.choice(WORDS) for _ in range(100)]]
+    while len(chain) < 25:  # each only like its neighbours
+        chain.append(edited(rng, chain[-1], 6))
+    rows += [(f"chain{i:02}", " ".join(w)) for i, w in enumerate(chain)]
+    group = {k: k for k, t in rows if k is not None and len((t or "").split()) >= 30 or k == "zh"}
+    links = brute(rows)
+    for _ in range(len(group)):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    found = neardup.near_groups(spark.createDataFrame(rows, "chunk_id string, content string")).collect()
+    assert {r.id: r.group_id for r in found} == group and len(found) == len(group)
+    assert len({g for k, g in group.items() if k.startswith("chain")}) < 6
+
+
+def test_a_family_of_many_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    base = [f"{w}" for w in WORDS[:120]]
+    rows = [(f"f{i:04}", " ".join([*base, f"n{i}"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string")
+    assert {r.group_id for r in neardup.near_groups(df).collect()} == {"f0000"}
+    assert neardup.near_pairs(df).count() == 600 * 599 // 2
+
+
+@pytest.mark.parametrize("most", [1 << 27, 0])
+def test_texts_are_sieved_or_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    rows = records(3)
+    found = {(r.a, r.b) for r in neardup.near_pairs(spark.createDataFrame(rows, "chunk_id string, content string")).collect()}
+    assert found == brute(rows)
