@@ -1,36 +1,48 @@
 """The most similar vectors for every vector of a query set (problem 2).
 
-Learned partitions:
+Learned partitions, as many as the collection asks for:
 
-1. A bounded sample (`sample` rows, those of smallest hash) gets its exact
-   neighbour graph, which is cut into balanced parts: recursive bisection at the
-   median of a vector smoothed over the graph, then rounds in which nodes
-   move to the part of most of their neighbours while that part has room.
+1. A bounded sample (`sample` rows of smallest hash, by a bound set from the exact
+   count) gets its exact neighbour graph, which is cut into balanced parts: recursive
+   bisection at the median of a vector smoothed over the graph, then rounds in which
+   nodes move to the part of most of their neighbours while that part has room.
 2. A small classifier (one hidden layer) learns the part of a vector; every row of
    the collection is put into the part it names.
 3. A second one learns where the neighbours of a vector lie under that
    assignment. It routes a query to the most probable parts until `mass` of the
    probability is covered.
-4. Parts are cut into blocks by exact part counts, so neither a popular part nor
+4. Parts grow with the root of the collection. Beyond FIRST_PARTS of them each part
+   is cut again, by the same three steps on a bounded sample of its own rows, all
+   parts at once on the executors; a leaf is as probable as its part times itself.
+5. Leaves are cut into blocks by exact counts, so neither a popular leaf nor
    copies of one vector by the million meet in one task. Each block scores its
    queries in one matrix product and reranks its best in double precision; a
    final window keeps k for each query.
 
-Only the fit is on a sample; every usable row is indexed. The models have a fixed
-size (below 100 kB) and travel with the functions.
+Only the fits are on samples; every usable row is indexed. The models are bounded
+(FIRST_PARTS pairs of networks below 100 kB each) and travel with the functions.
+With `parts=1` the search is exact.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from math import log2, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, PARTS, MASS, BLOCK_ROWS = 12_288, 32, 0.97, 20_000
+#: Rows that the first cut is fitted on, and rows of each part that its own cut is fitted on.
+SAMPLE, PART_SAMPLE = 24_576, 8_192
+#: Parts are PARTS_OF_ROOT times the root of the rows, on two levels of at most so many.
+PARTS_OF_ROOT, FIRST_PARTS, SECOND_PARTS = 0.63, 256, 256
+#: A part is fitted on so many sampled rows at least, or there are fewer parts.
+ROWS_A_PART = 40
+MASS, BLOCK_ROWS = 0.97, 20_000
 
 
 @dataclass
@@ -115,37 +127,76 @@ def balanced_parts(graph: np.ndarray, parts: int, rounds: int = 12, room: float
 
 
 @dataclass
-class PartitionIndex:
+class Cut:
+    """One level: which part a vector belongs to, and which parts its neighbours are in."""
+
     assign: Network
     route: Network
     parts: int
 
     @staticmethod
-    def fit(x: np.ndarray, parts: int = PARTS, k: int = 12) -> PartitionIndex:
-        """From unit vectors; with too few of them there is one part."""
-        while parts > 1 and len(x) < parts * 40:
+    def fit(x: np.ndarray, parts: int, k: int = 12, hidden: int = 128) -> Cut | None:
+        """From unit vectors; None if they are too few for two parts."""
+        while parts > 1 and len(x) < parts * ROWS_A_PART:
             parts //= 2
-        x = x.astype(np.float32)
         if parts == 1:
-            one = Network(np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32))
-            return PartitionIndex(one, one, 1)
+            return None
+        x = x.astype(np.float32)
         graph = neighbour_graph(x, k)
         part = balanced_parts(graph, parts)
         own = np.eye(parts, dtype=np.float32)
-        assign = Network.fit(x, 0.5 * own[part] + 0.5 * own[part[graph]].mean(1))
+        assign = Network.fit(x, 0.5 * own[part] + 0.5 * own[part[graph]].mean(1), hidden)
         placed = assign.probabilities(x).argmax(1)
-        route = Network.fit(x, own[placed[graph]].mean(1))
-        return PartitionIndex(assign, route, parts)
+        return Cut(assign, Network.fit(x, own[placed[graph]].mean(1), hidden), parts)
+
+
+@dataclass
+class PartitionIndex:
+    """A first cut (None: one part) and the cuts of its parts. Leaves are numbered part * second + part within it."""
+
+    first: Cut | None
+    second: int = 1
+    cuts: dict[int, Cut] = field(default_factory=dict)
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        return self.assign.probabilities(x.astype(np.float32)).argmax(1)
+        """The leaf of each vector."""
+        x = x.astype(np.float32)
+        part = self.first.assign.probabilities(x).argmax(1) if self.first else np.zeros(len(x), np.int64)
+        leaf = part * self.second
+        for p in np.unique(part).tolist():
+            if p in self.cuts:
+                rows = np.flatnonzero(part == p)
+                leaf[rows] += self.cuts[p].assign.probabilities(x[rows]).argmax(1)
+        return leaf
 
     def routes(self, x: np.ndarray, mass: float) -> list[list[int]]:
-        """The most probable parts of each query until `mass` is covered."""
-        p = self.route.probabilities(x.astype(np.float32))
-        order = np.argsort(-p, axis=1, kind="stable")
-        reached = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
-        return [order[i, : int(np.searchsorted(reached[i], mass)) + 1].tolist() for i in range(len(x))]
+        """The most probable leaves of each query until `mass` is covered."""
+        x = x.astype(np.float32)
+        if not self.first:
+            return [[0]] * len(x)
+        probable = self.first.route.probabilities(x)
+        order = np.argsort(-probable, axis=1, kind="stable")
+        reached = np.cumsum(np.take_along_axis(probable, order, 1), axis=1)
+        # parts beyond this cannot matter to what `mass` is covered with
+        taken = reached - np.take_along_axis(probable, order, 1) < 1 - (1 - mass) / 4
+        row, place = np.nonzero(taken)
+        part = order[row, place]
+        query, leaf, weight = [], [], []
+        for p in np.unique(part).tolist():
+            rows = row[part == p]
+            cut = self.cuts.get(p)
+            inner = cut.route.probabilities(x[rows]) if cut else np.ones((len(rows), 1), np.float32)
+            query.append(np.repeat(rows, inner.shape[1]))
+            leaf.append(np.tile(p * self.second + np.arange(inner.shape[1]), len(rows)))
+            weight.append((probable[rows, p][:, None] * inner).ravel())
+        query, leaf, weight = (np.concatenate(v) for v in (query, leaf, weight))
+        order = np.lexsort((-weight, query))
+        query, leaf, weight = query[order], leaf[order], weight[order]
+        begin = np.searchsorted(query, np.arange(len(x)))
+        total = np.cumsum(weight, dtype=np.float64)
+        before = total - weight - np.concatenate([[0.0], total])[begin][query]
+        keep = before < mass
+        return [part.tolist() for part in np.split(leaf[keep], np.searchsorted(query[keep], np.arange(1, len(x))))]
 
 
 def usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -161,42 +212,75 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_index(vectors: DataFrame, size: int, sample: int = SAMPLE, parts: int = PARTS) -> PartitionIndex:
-    """The index of `usable` rows; collects at most `sample` of them, those of smallest hash."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).dropDuplicates(["id"]).toArrow()
-    x = _matrix(rows["v"], size) if rows.num_rows else np.empty((0, size))
-    return PartitionIndex.fit(x, parts)
+def parts_for(rows: int) -> tuple[int, int]:
+    """Parts of the two levels for a collection of so many rows; powers of two."""
+    wanted = int(log2(max(1.0, min(PARTS_OF_ROOT * sqrt(rows), rows / 64))))
+    first = min(wanted, int(log2(FIRST_PARTS)))
+    return 1 << first, 1 << min(wanted - first, int(log2(SECOND_PARTS)))
+
+
+def _sampled(rows: DataFrame, share: float) -> DataFrame:
+    """Rows whose key's hash is among the smallest `share`; each key once."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) < F.lit(int(min(share, 1.0) * (1 << 40)))).dropDuplicates(["id"])
+
+
+def fit_index(vectors: DataFrame, size: int, sample: int = SAMPLE, parts: int | None = None, part_sample: int = PART_SAMPLE) -> PartitionIndex:
+    """The index of `usable` rows. About `sample` of them come to the driver; `part_sample` for each part are fitted on where they are."""
+    count = vectors.count()
+    first, second = parts_for(count) if parts is None else (min(parts, FIRST_PARTS), max(1, parts // FIRST_PARTS))
+    if first == 1:
+        return PartitionIndex(None)
+    rows = _sampled(vectors, sample / count).toArrow()
+    top = PartitionIndex(Cut.fit(_matrix(rows["v"], size), first) if rows.num_rows else None)
+    if second == 1 or not top.first:
+        return top
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.place(_matrix(batch.column(1), size)), pa.int32())], names=["id", "v", "part"])
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        cut = Cut.fit(_matrix(rows["v"], size), second, hidden=64)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cut": pa.array([pickle.dumps(cut)], pa.binary())})
+
+    some = _sampled(vectors, part_sample * first / count).mapInArrow(place, "id string, v array<float>, part int")
+    fitted = some.groupBy("part").applyInArrow(fit, "part int, cut binary").toArrow()  # at most FIRST_PARTS rows
+    cuts = {p: pickle.loads(c) for p, c in zip(fitted["part"].to_pylist(), fitted["cut"].to_pylist())}
+    return PartitionIndex(top.first, second, {p: c for p, c in cuts.items() if c})
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", size: int = 64, sample: int = SAMPLE, parts: int = PARTS, mass: float = MASS
+    queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", size: int = 64, sample: int = SAMPLE, parts: int | None = None, mass: float = MASS
 ) -> DataFrame:
     """query, neighbour, similarity, rank: the k most similar other rows of `vectors` for each row of `queries`, by cosine.
 
     Vectors that are null, of another size, all zero or hold nulls, NaN or infinities
     are left out on both sides, as are null keys. A key that occurs more than
     once counts once, with its best similarity. Ties go to the smaller key as a
-    string. Fewer than k other rows give fewer. Recall is below 1: see README.
+    string. Fewer than k other rows give fewer. Recall is below 1: see README; with
+    `parts=1` all rows are compared and the result is exact.
     """
     if k < 1:
         raise ValueError("k must be greater than or equal to 1")
     pool, asked = usable(vectors, key, vector, size), usable(queries, key, vector, size)
-    index = fit_index(pool, size, sample, parts)
+    spark = vectors.sparkSession
+    fitted = spark.sparkContext.broadcast(fit_index(pool, size, sample, parts))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                part = pa.array(index.place(_matrix(batch.column(1), size)), pa.int32())
+                part = pa.array(fitted.value.place(_matrix(batch.column(1), size)), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), part], names=["id", "v", "part"])
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                to = pa.array(index.routes(_matrix(batch.column(1), size), mass), pa.list_(pa.int32()))
+                to = pa.array(fitted.value.routes(_matrix(batch.column(1), size), mass), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), to], names=["id", "v", "to"])
 
     placed = pool.mapInArrow(place, "id string, v array<float>, part int")
-    # one row for each part: at most `parts`
+    # one row for each leaf: at most FIRST_PARTS x SECOND_PARTS
     blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)
     stored = placed.join(blocks, "part").select("id", "v", "part", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))

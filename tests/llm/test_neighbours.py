@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from millrace.llm import neighbours
 from millrace.llm.neighbours import balanced_parts, nearest, neighbour_graph
 
 SCHEMA = "chunk_id string, embedding array<float>, part string"
@@ -40,6 +41,29 @@ def test_recall_against_brute_force(spark):
     assert hits / len(found) >= 0.9
 
 
+def test_two_levels_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FIRST_PARTS", 4)
+    x = clustered(4000)
+    ids = [f"c{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in zip(ids, x)], SCHEMA)
+    index = neighbours.fit_index(neighbours.usable(df, "chunk_id", "embedding", 16), 16, sample=2000, parts=16)
+    assert index.second == 4 and len(index.cuts) == 4
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = np.bincount(index.place(unit), minlength=16)
+    assert len(sizes) == 16 and (sizes > 0).sum() > 12
+    routes = index.routes(unit[:50], 0.9)
+    assert all(0 < len(r) <= 16 and len(set(r)) == len(r) for r in routes)
+    assert all(len(a) <= len(b) for a, b in zip(routes, index.routes(unit[:50], 0.99)))
+    asked = ids[::100]
+    truth = brute(ids, x, asked, 10)
+    found = nearest(df.where(df.chunk_id.isin(asked)), df, k=10, size=16, sample=2000, parts=16).collect()
+    assert sum(r.neighbour in truth[r.query] for r in found) / len(found) >= 0.9
+
+
+def test_parts_grow_with_the_rows():
+    assert [neighbours.parts_for(n) for n in (0, 100, 17_330, 173_040, 10**9, 10**12)] == [(1, 1), (1, 1), (64, 1), (256, 1), (256, 64), (256, 256)]
+
+
 def test_one_part_is_exact_with_dirt_copies_and_ties(spark):
     rows = [("a", [1.0, 0.0], ""), ("b", [2.0, 0.0], ""), ("c", [1.0, 0.0], ""), ("c", [1.0, 0.0], ""), ("d", [0.0, 1.0], ""), ("n", None, "")]
     rows += [("z", [0.0, 0.0], ""), ("s", [1.0], ""), ("x", [float("nan"), 1.0], ""), (None, [1.0, 1.0], ""), ("m", [None, 1.0], "")]
