@@ -7,18 +7,22 @@ comparable; a proportional-odds model then learns shared weights, and for each
 language small deviations from them (held near 0 by a stronger penalty), from
 graded documents. The model is a few hundred numbers.
 
-Word rarity needs corpus counts. They are kept in a table of fixed size: words
-are hashed to 2^16 buckets, so the counts of all documents together have half a
-megabyte whatever the corpus, and are sent to the executors as they are.
+Word rarity needs corpus counts. Words of all documents are counted exactly, by one
+aggregation. Those with at least one in 2^CEILING of all words (so there are fewer
+than 2^CEILING of them, whatever the corpus) go to the executors with their counts;
+any rarer word counts as CEILING bits of surprise.
+
+Letters of every script make words. A document's language is told by its script and
+frequent words; where these say nothing the language column decides. All languages
+but the three known ones are standardised together as `other`.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import durable
 
-BUCKETS = 1 << 16
+#: Bits of surprise of all words rarer than one in 2^CEILING.
+CEILING = 18
 #: At most so many graded rows (those of smallest hash) are collected to fit on.
 MAX_LABELS = 20_000
 WORDS_KEPT = 1_000_000
@@ -35,16 +40,22 @@ WORDS_KEPT = 1_000_000
 #: Connectives by language, single characters for Chinese.
 CONNECTIVES = set(
     "although though whereas because since unless while whenever insofar notwithstanding moreover nevertheless consequently accordingly thereby hitherto whose which provided "
+    "whereby wherein whereupon therefore furthermore nonetheless hence thus inasmuch albeit lest whether whom until whereof thereof besides conversely subsequently "
     "obwohl soweit sofern weshalb sowohl ungeachtet demgemäß obgleich indem damit sobald dass deren wonach weil wenn bevor "
+    "falls nachdem während solange wodurch wobei worauf woraus wofern dessen dennoch jedoch folglich demnach daher deshalb nichtsdestoweniger insofern gleichwohl hingegen mithin somit "
     "然 而 则 故 若 倘 尽 虽 且 即 其 之 亦 否 因 此 凡".split()
 )
-LANGUAGES = ("en", "de", "zh")
+#: Frequent words that tell two languages of Latin script apart.
+ENGLISH, GERMAN = frozenset("the of and to is that".split()), frozenset("der die und das den nicht".split())
+LANGUAGES = ("en", "de", "zh", "other")
 FEATURES = (
     "sentence_mean", "sentence_low", "sentence_middle", "sentence_high", "sentence_top", "word_length", "long_words", "rarity", "rare_words", "connectives", "commas", "diversity", "words"
 )
 
-_TOKEN = re.compile(r"[a-zà-öø-ÿß]+|[一-鿿]|[.!?](?!\w)|[。！？\n,;:，；：、]")
+_TOKEN = re.compile(r"[^\W\d_一-鿿]+|[一-鿿]|[.!?](?!\w)|[。！？\n,;:，；：、]")
 _END, _PAUSE, _WORD, _HAN = 0, 1, 2, 3
+#: What a word says of its language: letters beyond Latin, or frequent in one of two.
+_NOTHING, _FOREIGN, _ENGLISH, _GERMAN = 0, 1, 2, 3
 
 
 class _Lexicon(dict):
@@ -54,9 +65,11 @@ class _Lexicon(dict):
         super().__init__()
         self.fresh: list[str] = []
         self.kind = np.empty(0, np.int8)
-        self.bucket = np.empty(0, np.int64)
+        self.tells = np.empty(0, np.int8)
         self.length = np.empty(0, np.int64)
         self.connective = np.empty(0, bool)
+        self.surprise = np.empty(0)
+        self.table: dict[str, float] | None = None
 
     def __missing__(self, token: str) -> int:
         n = self[token] = len(self)
@@ -67,12 +80,22 @@ class _Lexicon(dict):
         if not self.fresh:
             return
         kinds = [_HAN if "一" <= t <= "鿿" else _WORD if t.isalpha() else _END if t in ".!?。！？\n" else _PAUSE for t in self.fresh]
+        tells = [_ENGLISH if t in ENGLISH else _GERMAN if t in GERMAN or not t.isascii() and any(c in "äöüß" for c in t) else _FOREIGN if t[0] > "\u024f" and t.isalpha() else _NOTHING for t in self.fresh]
         self.kind = np.concatenate([self.kind, np.array(kinds, np.int8)])
-        self.bucket = np.concatenate([self.bucket, np.fromiter((zlib.crc32(t.encode()) % BUCKETS for t in self.fresh), np.int64, len(self.fresh))])
+        self.tells = np.concatenate([self.tells, np.array(tells, np.int8)])
         self.length = np.concatenate([self.length, np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))])
         self.connective = np.concatenate([self.connective, np.fromiter((t in CONNECTIVES for t in self.fresh), bool, len(self.fresh))])
         self.fresh = []
 
+    def surprises(self, table: dict[str, float]) -> np.ndarray:
+        """Bits of surprise of each token."""
+        if self.table is not table:
+            self.table, self.surprise = table, np.empty(0)
+        if len(self.surprise) < len(self):
+            new = islice(self, len(self.surprise), None)
+            self.surprise = np.concatenate([self.surprise, np.fromiter((table.get(t, CEILING) for t in new), np.float64, len(self) - len(self.surprise))])
+        return self.surprise
+
 
 _lexicon: list[_Lexicon] = []
 
@@ -95,25 +118,38 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def word_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Occurrences of words over all documents, by bucket; at most BUCKETS rows come to the driver."""
+def word_surprise(documents: DataFrame, text: str = "text") -> dict[str, float]:
+    """Bits of surprise of the words that make up at least one in 2^CEILING of all words; fewer than 2^CEILING of them come to the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in _slices(batches):
-            lexicon, numbers, _ = _tokens(batch.column(0).to_pylist())
-            total += np.bincount(lexicon.bucket[numbers[lexicon.kind[numbers] >= _WORD]], minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
-
-    out = np.zeros(BUCKETS, np.int64)
-    table = documents.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return out
+        held, counted = None, np.zeros(0, np.int64)
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            words = np.array(list(held), object)
+            for at in range(0, len(words), 50_000):
+                some = at + np.flatnonzero((counted[at : at + 50_000] > 0) & (held.kind[at : at + 50_000] >= _WORD))
+                yield pa.RecordBatch.from_arrays([pa.array(words[some], pa.string()), pa.array(counted[some])], names=["word", "n"])
 
-def measure(texts: list[str | None], surprise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text (rows) and its language's number in LANGUAGES. Texts without words have zeros."""
+        for batch in _slices(batches):
+            lexicon, numbers, _ = _tokens(batch.column(0).to_pylist())
+            if held is not lexicon:
+                if held is not None:
+                    yield from rows()
+                held, counted = lexicon, np.zeros(0, np.int64)
+            new = np.bincount(numbers, minlength=len(lexicon))
+            new[: len(counted)] += counted
+            counted = new
+        if held is not None:
+            yield from rows()
+
+    counts = durable(documents.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = counts.where(F.col("n") * (1 << CEILING) > total).toArrow()
+    return dict(zip(known["word"].to_pylist(), (np.log2(max(total, 1)) - np.log2(known["n"].to_numpy())).tolist()))
+
+
+def measure(texts: list[str | None], surprise: dict[str, float], said: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each text (rows) and its language's number in LANGUAGES. Texts without words have zeros. `said` has what the language column says."""
     n = len(texts)
     lexicon, number, of = _tokens(texts)
     kind = lexicon.kind[number]
@@ -140,7 +176,7 @@ def measure(texts: list[str | None], surprise: np.ndarray) -> tuple[np.ndarray,
     for j, q in enumerate((0.1, 0.35, 0.65, 0.9)):
         out[has, 1 + j] = size[begin[has] + ((sentences[has] - 1) * q).round().astype(int)]
 
-    length, rare = lexicon.length[word], surprise[lexicon.bucket[word]]
+    length, rare = lexicon.length[word], lexicon.surprises(surprise)[word]
     out[:, 5] = np.bincount(at, length, n) / some
     out[:, 6] = np.bincount(at, length >= 10, n) / some
     out[:, 7] = np.bincount(at, rare, n) / some
@@ -154,24 +190,25 @@ def measure(texts: list[str | None], surprise: np.ndarray) -> tuple[np.ndarray,
     out[:, 12] = np.log(some)
 
     han = np.bincount(of[kind == _HAN], minlength=n)
-    umlaut = np.fromiter((sum(map(t.count, ("ä", "ö", "ü", "ß", " der ", " die ", " und "))) if t else 0 for t in texts), np.int64, n)
-    return out, np.where(han > 0.3 * some, 2, np.where(umlaut > 0.02 * some, 1, 0))
+    foreign, english, german = (np.bincount(at, lexicon.tells[word] == t, n) for t in (_FOREIGN, _ENGLISH, _GERMAN))
+    named = np.array([LANGUAGES.index(s) if s in ("en", "de") else 0 if not s or s == "zh" else 3 for s in (said or [None] * n)], np.int64)
+    latin = np.where(np.maximum(english, german) > 0.02 * some, np.where(german > english, 1, 0), named)
+    return out, np.where(han > 0.3 * some, 2, np.where(foreign > 0.5 * some, 3, latin))
 
 
-def features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, lang (INT, place in LANGUAGES) and x (ARRAY<DOUBLE>, FEATURES) of each document."""
-    counts = word_counts(documents, text)
-    surprise = -np.log2((counts + 0.5) / max(float(counts.sum()), 1.0))
-    table = documents.sparkSession.sparkContext.broadcast(surprise)  # BUCKETS doubles
+def features(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """key, lang (INT, place in LANGUAGES) and x (ARRAY<DOUBLE>, FEATURES) of each document; the column `lang` is evidence where there is one."""
+    table = documents.sparkSession.sparkContext.broadcast(word_surprise(documents, text))  # fewer than 2^CEILING words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            x, lang = measure(batch.column(1).to_pylist(), table.value)
+            x, languages = measure(batch.column(1).to_pylist(), table.value, batch.column(2).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.int32()), lists], names=["key", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.int32()), lists], names=["key", "lang", "x"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, lang int, x array<double>")
+    said = F.lower(F.trim(F.col(f"`{lang}`").cast("string"))) if lang in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), said.alias("said")).mapInArrow(run, f"key {kind}, lang int, x array<double>")
 
 
 @dataclass
@@ -259,12 +296,27 @@ def fit_levels(measured: DataFrame, labels: DataFrame, bands: int = 4, max_label
     return OrdinalModel.fit(x, rows["lang"].to_numpy().astype(int), rows["band"].to_numpy().astype(int), mean, spread, bands)
 
 
+def calibration(x: np.ndarray, lang: np.ndarray, band: np.ndarray, mean: np.ndarray, spread: np.ndarray, folds: int = 5, bands: int = 4) -> list[tuple[str, int, int, float, float]]:
+    """lang, band, rows, expected and real share of the band among graded rows, by models fitted without them."""
+    above = np.zeros((len(x), bands + 1))
+    for f in range(folds):
+        held = np.arange(len(x)) % folds == f
+        model = OrdinalModel.fit(x[~held], lang[~held], band[~held], mean, spread, bands)
+        p = 1 / (1 + np.exp(-np.clip(model.score(x[held], lang[held])[:, None] - model.cuts, -40, 40)))
+        above[held] = np.column_stack([np.ones(len(p)), p, np.zeros(len(p))])
+    share = above[:, :-1] - above[:, 1:]
+    return [
+        (name, j + 1, int((lang == i).sum()), float(share[lang == i, j].mean()), float((band[lang == i] == j + 1).mean()))
+        for i, name in enumerate(LANGUAGES) if (lang == i).any() for j in range(bands)
+    ]
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang, level (DOUBLE, comparable across languages) and band (INT from 1, easiest) of each document.
 
     Documents without any word (null, empty, blank or symbols only) have null level
     and band. Repeated rows stay repeated. Without usable labels every document
-    with words has the same level. Other columns are ignored.
+    with words has the same level. A column `lang` is evidence of the language; others are ignored.
     """
     measured = durable(features(documents, key, text))
     model = fit_levels(measured, labels)

@@ -128,16 +128,17 @@ def p9_shares(spark: SparkSession, data: str) -> DataFrame:
 
 @query()
 def p10_found(spark: SparkSession, data: str) -> DataFrame:
-    documents = table(spark, data, "documents", "doc_id", "text", "n_chars")
+    """A document without any word has nothing that is hard to read: band 1."""
+    documents = table(spark, data, "documents", "doc_id", "text", "lang", "n_chars")
     levels = level.reading_levels(documents, table(spark, data, "level_labels"))
     long = documents.where("n_chars >= 200").select("doc_id")
-    return levels.join(long, "doc_id", "left_semi").where("band is not null").select("doc_id", "band")
+    return levels.join(long, "doc_id", "left_semi").select("doc_id", F.coalesce("band", F.lit(1)).alias("band"))
 
 
 @query()
 def p10_profile(spark: SparkSession, data: str) -> DataFrame:
     """Documents by language and band; documents without words have null for both."""
-    levels = level.reading_levels(table(spark, data, "documents", "doc_id", "text"), table(spark, data, "level_labels"))
+    levels = level.reading_levels(table(spark, data, "documents", "doc_id", "text", "lang"), table(spark, data, "level_labels"))
     return levels.groupBy("lang", "band").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 6).alias("level"))
 
 

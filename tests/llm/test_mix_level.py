@@ -119,5 +119,30 @@ def test_gradient_matches_a_search():
     x = rng.normal(size=(400, len(level.FEATURES)))
     y = np.digitize(x[:, 0] * 2 + rng.normal(size=400) * 0.3, [-2, 0, 2]) + 1
     lang = np.zeros(400, int)
-    m = level.OrdinalModel.fit(x, lang, y, np.zeros((3, x.shape[1])), np.ones((3, x.shape[1])))
+    m = level.OrdinalModel.fit(x, lang, y, np.zeros((4, x.shape[1])), np.ones((4, x.shape[1])))
     assert np.mean(m.band(x, lang) == y) > 0.8 and list(m.cuts) == sorted(m.cuts)
+
+
+def test_every_script_has_a_level(spark):
+    russian = "Система проверяет каждую запись перед сохранением. Это важно для всех пользователей, которые работают с архивом."
+    greek = "Το σύστημα ελέγχει κάθε εγγραφή πριν από την αποθήκευση."
+    rows = [(1, russian, "ru"), (2, greek, None), (3, "Le dossier est prêt pour la réunion.", "fr"), (4, "retry list: alpha beta", "de"), (5, "Die Mappe liegt im Regal und der Schlüssel nicht.", "en"), (6, "检索构建器在写入之前会校验每一批记录。", "en"), (7, "The box is on the table.", "zh")]
+    docs, labels = graded(spark)
+    found = {r.doc_id: r for r in level.reading_levels(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert all(found[i].band is not None for i in found)
+    assert {i: r.lang for i, r in found.items()} == {1: "other", 2: "other", 3: "other", 4: "de", 5: "de", 6: "zh", 7: "en"}
+
+
+def test_rarity_is_that_of_exact_counts(spark):
+    texts = ["common common rare", "common 123, Common!", None, ""]
+    found = level.word_surprise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found == {"common": pytest.approx(np.log2(5 / 4)), "rare": pytest.approx(np.log2(5))}
+
+
+def test_expected_shares_of_bands_are_those_met():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, len(level.FEATURES)))
+    y = np.digitize(x[:, 0] * 2 + rng.logistic(size=3000), [-2, 0, 2]) + 1
+    lang = rng.integers(0, 2, 3000)
+    rows = level.calibration(x, lang, y, np.zeros((4, x.shape[1])), np.ones((4, x.shape[1])))
+    assert len(rows) == 8 and all(abs(expected - real) < 0.03 for *_, expected, real in rows)
