@@ -3,12 +3,16 @@
 Two-pass block rules over a document whose verbatim parts (code, formulas,
 comments) are set aside first, since what stands inside them means nothing else.
 
-Pass 1 decides blocks on their own evidence: a line that carries a list or heading
+Pass 1 decides blocks on their own evidence: headings and items that tags or commands
+set off are lines of their own and need none; a line that carries a list or heading
 mark is a list item or heading if its neighbouring lines or its shape bear that
 out; running text is told from residue by stop-word density, length and link
-density. What is short or stands alone stays open. Pass 2 gives open blocks the
-label of the nearest decided neighbour of the kind they could be, if both sides
-that exist agree or the nearer one is adjacent; else they are text.
+density. What is short or stands alone stays open. Pass 2: an open line is residue if
+its nearest decided neighbours are, and text else; then an open item is one if what
+stands beside it is, blank lines aside, itself decided or just labelled; all else is text.
+
+Headings and lists of all markups are those of the blocks that come out. Code and
+formulas are the verbatim parts, inline marks are looked for in what is left.
 
 Four markups are known: html, markdown, wiki and latex; five kinds of element:
 heading, list, code, formula and inline.
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 
 #: Frequent words that running text has and menus, lists of links and captions lack.
 STOP_WORDS = frozenset(
-    "the a an of to in and or for is are be it that this with as on by at from not we you will can if "
-    "der die das den dem des ein eine und oder für ist sind mit auf von zu im nicht wir sie wenn dass "
-    "的 了 在 是 和 与 或 不 会 请 把".split()
+    "the a an of to in and or for is are be it that this with as on by at from not we you will can if was were has have had do does but they their there its which who what when than then so "
+    "no more some such only into out about up over after before all any each most other these those our your his her may must should would could been being "
+    "der die das den dem des ein eine einen einem einer und oder für ist sind mit auf von zu im in nicht wir sie wenn dass es er ich als auch aus bei nach nur noch wird werden war waren "
+    "haben hat kann sich über um vor durch wie so aber zum zur am bis ihre ihr sein seine keine mehr diese dieser dieses "
+    "的 了 在 是 和 与 或 不 会 请 把 有 为 以 及 对 从 到 并 也 将 被 由 其 这 那".split()
 )
 MAX_LINK_DENSITY, LEAST_STOP_WORDS, SHORT = 0.4, 0.12, 60
 
@@ -53,20 +59,21 @@ _CODE_ENVIRONMENTS = ("verbatim", "lstlisting", "minted")
 HOLE = "\ufffc"
 
 _HTML_HEADING = re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.I | re.S)
-_HTML_LIST = re.compile(r"<(?:ul|ol|dl|li)\b[^<>]*>", re.I)
+_HTML_LIST = re.compile(r"<(?:ul|ol|dl|li)\b[^<>]*>\s*", re.I)
 _HTML_INLINE = re.compile(r"<(?:a|span|b|i|em|strong|br|img|sup|sub|u|s|mark|font|small|abbr|cite|kbd|tt|del|ins|q|big|label|time)\b(?:\s[^<>]*)?/?>|</(?:a|span|b|i|em|strong|font)\s*>", re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _WIKI_HEADING = re.compile(r"^(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$", re.M)
 _WIKI_INLINE = re.compile(r"(?<![^\s(（\ufffc>])'{2,5}(?=[^\s'])[^\n']*(?:'[^\n']+)*?(?<=[^\s'])'{2,5}(?!\w)|\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|<ref\b[^<>]*>|\[https?://[^\s\]]+ [^\]\n]+\]", re.I)
 _LATEX_HEADING = re.compile(r"\\(?:part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\s?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}")
 _LATEX_LIST = re.compile(r"\\begin\{(?:itemize|enumerate|description)\*?\}")
+_LATEX_ITEM = re.compile(r"\\item\b(?:\[[^\]\n]*\])?\s*")
 _LATEX_INLINE = re.compile(r"~?\\(?:textbf|textit|texttt|textsc|textrm|textsf|emph|underline|cite[a-z]*|footnote|href|url|ref|eqref|label|mbox)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}")
 _MARKDOWN_INLINE = re.compile(
     r"(?<![*\w])\*{1,3}(?=[^\s*])[^*\n]+(?<=[^\s*])\*{1,3}(?![*\w])|(?<![_\w])_{1,3}(?=[^\s_])[^_\n]+(?<=[^\s_])_{1,3}(?![_\w])|~~(?=\S)[^~\n]+(?<=\S)~~"
     r"|!?\[[^\[\]\n]*\]\([^()\s]*(?:[ ]\"[^\"\n]*\")?\)|\[\^[^\]\s]+\]|<https?://[^<>\s]+>|(?<!\[)\[[^\[\]\n]+\]\[[^\[\]\n]*\](?!\])"
 )
 _MARKDOWN_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*[ \t]*$")
-_ITEM = re.compile(r"^\s*(?:([*#:;]{1,6})(?=[ \t])|([-+])(?=[ \t])|(\d{1,3})[.)](?=[ \t]))[ \t]+(\S.*)$")
+_ITEM = re.compile(r"^\s*(?:([*#:;]{1,6})(?=[ \t])|([-+])(?=[ \t])|(\d{1,9})[.)](?=[ \t]))[ \t]+(\S.*)$")
 _PAGE_NUMBER = re.compile(r"^\s*-\s*[\divxlcIVXLC]{1,6}\s*-\s*$")
 _UNDERLINE = re.compile(r"^(?:={3,}|-{3,})[ \t]*$")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,6 +100,8 @@ class Parsed:
     elements: set[tuple[str, str]] = field(default_factory=set)
 
 
+#: A heading (with its level) or item that tags (h) or commands (l) set off, on a line of its own.
+_SET_OFF = re.compile(r"\x01(?P<kind>[hl])(?:(?P<level>\d)|i)(?P<text>.*)$", re.S)
 _CLOSING_DOLLAR = re.compile(r"(?<=[^\s\\$])\$(?![\d$])")
 
 
@@ -180,13 +189,17 @@ def _set_aside(text: str, elements: set[tuple[str, str]]) -> tuple[str, list[Blo
     return "".join(out), parts
 
 
-def _densities(line: str) -> tuple[float, float]:
-    """Share of stop words among the words, and of characters inside links."""
+def _stop_density(line: str) -> float:
+    """Share of stop words among the words."""
     words = _WORD.findall(line.lower())
     han = sum("一" <= c <= "鿿" for c in line)
     stops = sum(w in STOP_WORDS for w in words) + sum(c in STOP_WORDS for c in line) * (han > 0)
-    linked = sum(len(x) for x in re.findall(r"\[\[?([^\[\]\n]*)\]\]?|<a\b[^<>]*>([^<>]*)</a>", line) for x in x)
-    return stops / max(1, len(words) + han // 4), linked / max(1, len(line))
+    return stops / max(1, len(words) + han // 4)
+
+
+def _link_density(line: str) -> float:
+    """Share of the characters inside links."""
+    return sum(len(x) for x in re.findall(r"\[\[?([^\[\]\n]*)\]\]?|<a\b[^<>]*>([^<>]*)</a>", line) for x in x) / max(1, len(line))
 
 
 def _first_pass(text: str, parts: list[Block], elements: set[tuple[str, str]]) -> list[Block]:
@@ -210,6 +223,9 @@ def _first_pass(text: str, parts: list[Block], elements: set[tuple[str, str]]) -
         if not line.strip():
             blocks.append(Block("", "blank"))
             continue
+        if m := _SET_OFF.match(shown):
+            blocks.append(Block(m["text"], "heading" if m["level"] else "list", "latex" if m["kind"] == "l" else "html", level=int(m["level"] or 0)))
+            continue
         if m := _WIKI_HEADING.match(line):
             blocks.append(Block(m[2], "heading", "wiki", level=len(m[1]) - 1))
             continue
@@ -219,10 +235,9 @@ def _first_pass(text: str, parts: list[Block], elements: set[tuple[str, str]]) -
         mark = kind[i]
         heading = None if wiki else _MARKDOWN_HEADING.match(line)
         if heading:
-            stops, links = _densities(heading[2])
             # a long sentence after a single # is an item of an ordered list whose wiki headings are lost
             follows = heading[1] == "#" and any(k and k[0] == "#" for k in (kind[i - 1] if i else None, kind[i + 1] if i + 1 < len(lines) else None))
-            if follows and len(heading[2]) > SHORT and stops >= LEAST_STOP_WORDS:
+            if follows and len(heading[2]) > SHORT and _stop_density(heading[2]) >= LEAST_STOP_WORDS:
                 blocks.append(Block(shown.strip("# \t"), "list", "wiki"))
             else:
                 blocks.append(Block(heading[2] if HOLE not in heading[2] else shown.strip("# \t"), "heading", "markdown", level=len(heading[1])))
@@ -241,8 +256,8 @@ def _first_pass(text: str, parts: list[Block], elements: set[tuple[str, str]]) -
         if len(bare) >= SHORT and "[" not in line and "<a" not in line:  # long and without links: the densities cannot matter
             blocks.append(Block(shown, "text"))
             continue
-        stops, links = _densities(line)
-        if links > MAX_LINK_DENSITY and len(bare) > 20 and stops < LEAST_STOP_WORDS:
+        stops = _stop_density(line)
+        if _link_density(line) > MAX_LINK_DENSITY and len(bare) > 20 and stops < LEAST_STOP_WORDS:
             blocks.append(Block(shown, "residue"))
         elif len(bare) >= SHORT or stops >= LEAST_STOP_WORDS or whole:
             blocks.append(Block(shown, "text"))
@@ -252,34 +267,24 @@ def _first_pass(text: str, parts: list[Block], elements: set[tuple[str, str]]) -
 
 
 def _second_pass(blocks: list[Block]) -> None:
-    """Open blocks inherit from the nearest decided neighbours, blank lines aside."""
+    """Open blocks inherit from the nearest decided neighbours, blank lines aside; what has inherited counts as decided."""
     solid = [b for b in blocks if b.label != "blank"]
-    before: list[Block | None] = []
-    last = None
+    decided = [i for i, b in enumerate(solid) if b.label != "open"]
+    labels = [solid[i].label for i in decided]
+    after = 0  # number of the first decided block that follows
     for b in solid:
-        before.append(last)
-        if b.label != "open":
-            last = b
-    after: list[Block | None] = []
-    last = None
-    for b in reversed(solid):
-        after.append(last)
-        if b.label != "open":
-            last = b
-    after.reverse()
-    run: list[str] = []
-    for b, left, right in zip(solid, before, after):
         if b.label != "open":
-            run.append("")
-            continue
-        labels = [x.label for x in (left, right) if x]
-        if b.could == "list":
-            run.append("list" if "list" in labels else "text")
-        else:
-            run.append("residue" if labels and all(x == "residue" for x in labels) else "text")
-    for b, label in zip(solid, run):
-        if label:
-            b.label = label
+            after += 1
+        elif b.could != "list":
+            near = labels[max(after - 1, 0) : after + 1]  # of one side only at the document's ends
+            b.label = "residue" if near and all(x == "residue" for x in near) else "text"
+    for way in (solid, solid[::-1]):
+        for b, beside in zip(way[1:], way):
+            if b.label == "open" and beside.label == "list":
+                b.label = "list"
+    for b in solid:
+        if b.label == "open":
+            b.label = "text"
 
 
 def parse(text: str | None) -> Parsed:
@@ -294,19 +299,11 @@ def parse(text: str | None) -> Parsed:
         return parsed
     rest, parts = _set_aside(text, found)
     if "<" in rest:
-        if "</h" in rest.lower() and _HTML_HEADING.search(rest):
-            found.add(("html", "heading"))
-        if _HTML_LIST.search(rest):
-            found.add(("html", "list"))
         if _HTML_INLINE.search(rest):
             found.add(("html", "inline"))
     if "&" in rest and _ENTITY.search(rest):
         found.add(("html", "inline"))
     if "\\" in rest:
-        if _LATEX_HEADING.search(rest):
-            found.add(("latex", "heading"))
-        if _LATEX_LIST.search(rest):
-            found.add(("latex", "list"))
         if _LATEX_INLINE.search(rest):
             found.add(("latex", "inline"))
     if ("''" in rest or "[[" in rest or "{{" in rest or "<ref" in rest or "[http" in rest) and _WIKI_INLINE.search(rest):
@@ -314,22 +311,20 @@ def parse(text: str | None) -> Parsed:
     plain = _WIKI_INLINE.sub(" ", rest) if "[[" in rest or "{{" in rest else rest
     if re.search(r"[*_~\]]", plain) and _MARKDOWN_INLINE.search(re.sub(r"(?m)^\s*[*#:;+-]+ ", "", plain)):
         found.add(("markdown", "inline"))
-    # HTML and LaTeX headings and items become lines of their own before the line rules
-    lined = _HTML_HEADING.sub(lambda m: f"\n\x01h{m[1]}{' '.join(m[2].split())}\n", rest) if ("html", "heading") in found else rest
-    lined = _LATEX_HEADING.sub(lambda m: f"\n\x01h{_latex_level(m[0])}{m[1]}\n", lined) if ("latex", "heading") in found else lined
-    lined = re.sub(r"(?i)<li\b[^<>]*>\s*", "\n\x01i", lined) if ("html", "list") in found else lined
-    lined = re.sub(r"\\item\b(?:\[[^\]\n]*\])?\s*", "\n\x01i", lined) if ("latex", "list") in found else lined
+    # headings and items that tags or commands set off become lines of their own before the line rules
+    lined = rest
+    if "<" in rest:
+        lined = _HTML_HEADING.sub(lambda m: f"\n\x01h{m[1]}{' '.join(m[2].split())}\n", lined) if "</h" in rest.lower() else lined
+        lined = _HTML_LIST.sub("\n\x01hi", lined)
+    if "\\" in rest:
+        lined = _LATEX_HEADING.sub(lambda m: f"\n\x01l{_latex_level(m[0])}{m[1]}\n", lined)
+        if _LATEX_LIST.search(lined):
+            lined = _LATEX_ITEM.sub("\n\x01li", _LATEX_LIST.sub("\n\x01li", lined))
     parsed.blocks = _first_pass(lined, parts, found)
-    for b in parsed.blocks:
-        if b.text.startswith("\x01h"):
-            b.label, b.level, b.text = "heading", int(b.text[2]), b.text[3:]
-            b.markup = "html"
-        elif b.text.startswith("\x01i"):
-            b.label, b.text, b.markup = "list", b.text[2:], "html"
     _second_pass(parsed.blocks)
-    for b in parsed.blocks:
-        if b.label in ("heading", "list") and b.markup in ("markdown", "wiki"):
-            found.add((b.markup, b.label))
+    found.update((b.markup, b.label) for b in parsed.blocks if b.label in ("heading", "list"))
+    # what opens a list is none of its items
+    parsed.blocks = [b for b in parsed.blocks if b.label != "list" or b.text.strip()]
     return parsed
 
 

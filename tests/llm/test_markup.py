@@ -37,6 +37,20 @@ def test_open_items_inherit_from_their_neighbours():
     assert parse("It ended in the year\n4. Then it began again and the rest of the line goes on.").elements == set()
 
 
+def test_the_nearer_neighbour_decides():
+    text = "This is the running text of a document that goes on and on without any mark."
+    blocks = [(b.text, b.label) for b in parse(f"- one\n- two\n\n- three\n\n- four\n\n{text}\n\n- five\n\n{text}").blocks if b.label != "blank"]
+    assert [x for _, x in blocks] == ["list", "list", "list", "list", "text", "text", "text"]
+    assert [b.label for b in parse(f"{text}\n- alone\n{text}").blocks] == ["text", "text", "text"]
+
+
+def test_set_off_headings_and_items_are_blocks():
+    html = [(b.label, b.markup, b.level, b.text) for b in parse("<h3>A <b>b</b></h3><ol><li>x<li>y</ol>").blocks if b.label != "blank"]
+    assert [b[:3] for b in html] == [("heading", "html", 3), ("list", "html", 0), ("list", "html", 0)]
+    latex = [(b.label, b.markup, b.text) for b in parse("\\subsection{S}\n\\begin{enumerate}\n\\item a\n\\item[z] b\n\\end{enumerate}").blocks if b.label in ("heading", "list")]
+    assert latex == [("heading", "latex", "S"), ("list", "latex", "a"), ("list", "latex", "b")]
+
+
 def test_tables_with_dirt(spark):
     rows = [("a", "# x"), ("a", "# x"), ("b", None), (None, "**bold**"), ("c", "")]
     df = spark.createDataFrame([(k, t, "clash") for k, t in rows], "document_id string, content string, markup string")
