@@ -232,9 +232,9 @@ def _salted(rows: DataFrame, spread: str, known: DataFrame, key: str) -> DataFra
     return rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"]).drop("salt")
 
 
-def _keyed(found: DataFrame) -> DataFrame:
-    """key, cls: the cells of each class, once; dealt by both, so a popular cell is not one task's."""
-    return found.select("cls", F.explode("bands").alias("key")).groupBy("key", "cls").agg(F.lit(1).alias("one")).select("key", "cls")
+def _keyed(points: DataFrame) -> DataFrame:
+    """cls, family and key of the cells of each class. A class that several tasks met stands more than once."""
+    return points.select("cls", "family", F.explode("bands").alias("key"))
 
 
 def _in_cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -242,19 +242,23 @@ def _in_cells(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell")
 
 
-def _cell_candidates(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of different families within all cells. Cells of one family only are passed over."""
-    keyed = keyed.join(classes.select("cls", "family"), "cls") if "family" not in keyed.columns else keyed
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("key", "size")
+def _cell_candidates(points: DataFrame, classes: DataFrame, threshold: float, whole: bool) -> DataFrame:
+    """Candidate pairs of different families within all cells. If not `whole`, cells of one family only are passed over first."""
+    keyed = _keyed(points)
+    if whole:  # each class its own family: what stands alone is most of the cells
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    else:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("key", "size")
     routed = _salted(keyed.select("key", "cls"), "cls", sizes, "key")
     routed = routed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return _cell_pairs(_in_cells(routed.select(cell.alias("cell"), "cls"), classes), threshold).distinct()
+    return _cell_pairs(_in_cells(routed.select(cell.alias("cell"), "cls").distinct(), classes), threshold).distinct()
 
 
-def _hub_candidates(keyed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _hub_candidates(points: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of each class and the smallest one of each of its cells: at most BANDS a class."""
+    keyed = _keyed(points).select("key", "cls")
     hubs = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("most")).where("hub < most").select("key", "hub")
     pairs = _salted(keyed, "cls", hubs, "key").where("cls <> hub").select("hub", "cls").distinct()
     pairs = pairs.select(F.xxhash64("hub", "cls").alias("cell"), F.explode(F.array("hub", "cls")).alias("cls"))
@@ -314,8 +318,7 @@ def _class_points(found: DataFrame) -> DataFrame:
 def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of all pairs of classes of `found` (points of `texts`: id, text) that reach the threshold."""
     classes = _class_points(found)
-    keyed = _keyed(found)
-    return _verified(texts, classes, _cell_candidates(keyed.withColumn("family", F.col("cls")), classes, threshold), threshold)
+    return _verified(texts, classes, _cell_candidates(found.withColumn("family", F.col("cls")), classes, threshold, True), threshold)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -387,11 +390,11 @@ def near_groups(df: DataFrame, key: str = "chunk_id", text: str = "content", thr
         raise ValueError("threshold must be in (0, 1]")
     texts = _prepared(df, key, text)
     found = durable(points(texts))
-    classes, keyed = _class_points(found), _keyed(found)
-    stars = durable(_verified(texts, classes, _hub_candidates(keyed, classes, threshold), threshold).select("a", "b"))
+    classes = _class_points(found)
+    stars = durable(_verified(texts, classes, _hub_candidates(found.withColumn("family", F.col("cls")), classes, threshold), threshold).select("a", "b"))
     families = components(stars)
     related = classes.drop("family").join(families.withColumnRenamed("label", "family"), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
-    others = durable(_verified(texts, related, _cell_candidates(keyed, related, threshold), threshold).select("a", "b"))
+    others = durable(_verified(texts, related, _cell_candidates(found.join(related.select("cls", "family"), "cls"), related, threshold, False), threshold).select("a", "b"))
     labels = families if others.isEmpty() else components(stars.unionByName(others))
 
     members = found.select("cls", "id").distinct()
