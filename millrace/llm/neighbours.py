@@ -84,10 +84,10 @@ class Network:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k most similar other rows of each row of unit vectors."""
     out = np.empty((len(x), k), np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 512):
+        s = x[at : at + 512] @ x.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-        out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[at : at + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -143,11 +143,17 @@ class Cut:
             return None
         x = x.astype(np.float32)
         graph = neighbour_graph(x, k)
+        row = np.repeat(np.arange(len(x)) * parts, k)
+
+        def shares(part: np.ndarray) -> np.ndarray:
+            """The parts of each row's neighbours."""
+            return (np.bincount(row + part[graph].ravel(), minlength=len(x) * parts).reshape(-1, parts) / np.float32(k)).astype(np.float32)
+
         part = balanced_parts(graph, parts)
-        own = np.eye(parts, dtype=np.float32)
-        assign = Network.fit(x, 0.5 * own[part] + 0.5 * own[part[graph]].mean(1), hidden)
-        placed = assign.probabilities(x).argmax(1)
-        return Cut(assign, Network.fit(x, own[placed[graph]].mean(1), hidden), parts)
+        own = 0.5 * shares(part)
+        own[np.arange(len(x)), part] += 0.5
+        assign = Network.fit(x, own, hidden)
+        return Cut(assign, Network.fit(x, shares(assign.probabilities(x).argmax(1)), hidden), parts)
 
 
 @dataclass
