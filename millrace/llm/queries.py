@@ -187,4 +187,12 @@ def p1_found(spark: SparkSession, data: str) -> DataFrame:
 
 @query()
 def p1_paragraphs(spark: SparkSession, data: str) -> DataFrame:
+    """Of the page chunks."""
     return scan.page_paragraphs(*_pages(spark, data))
+
+
+@query()
+def p1_documents(spark: SparkSession, data: str) -> DataFrame:
+    """Of the contents of the documents that came as PDF."""
+    documents = table(spark, data, "source_docs", "document_id", "title", "content", "doc_type").where("doc_type = 'pdf'")
+    return scan.document_paragraphs(documents, _pages(spark, data)[0])
