@@ -55,12 +55,23 @@ def p3_top10(spark: SparkSession, data: str) -> DataFrame:
     return topn.top_n(hits, ["query_id", "retriever"], "chunk_id", "score", 10)
 
 
-@query()
+_CUTS = r"""
+with recursive d as (select distinct document_id, content from source_docs where len(content) > 1000),
+c as (select document_id, content, 0 as start, 0 as stop, 0 as no from d
+  union all
+  select document_id, content, begin as start, begin + case when len(content) - begin <= 1000 then len(content) - begin when a > 100 then a when b > 100 then b when s > 100 then s when e > 100 then e else 1000 end as stop, no + 1 as no
+  from (select *, len(regexp_extract(w, '(?s)^.*\n\n')) as a, len(regexp_extract(w, '(?s)^.*\n')) as b, len(regexp_extract(w, '(?s)^.*(?:[.!?] |[。！？])')) as s, len(regexp_extract(w, '(?s)^.* ')) as e
+        from (select *, substring(content, begin + 1, 1000) as w from (select *, greatest(stop - 100, 0) as begin from c where stop < len(content)))))
+"""
+
+
+@query(f"{_CUTS} select distinct document_id, cast(start as int) as start_char, cast(stop as int) as end_char from c where no > 0")
 def p4_found(spark: SparkSession, data: str) -> DataFrame:
     return split.split_oversized(table(spark, data, "source_docs", "document_id", "content"), with_text=False)
 
 
-@query()
+@query(f"""{_CUTS} select document_id, cast(no - 1 as int) as piece_index, cast(start as int) as start_char, cast(stop as int) as end_char, substring(content, start + 1, stop - start) as content,
+cast(len(regexp_extract_all(substring(content, start + 1, stop - start), '[一-鿿]|[A-Za-z0-9]+(?:[-_''][A-Za-z0-9]+)*|[^\\s]')) as int) as token_count from c where no > 0""")
 def p4_pieces(spark: SparkSession, data: str) -> DataFrame:
     return split.split_oversized(table(spark, data, "source_docs", "document_id", "content"))
 

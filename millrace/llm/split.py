@@ -34,17 +34,30 @@ def cut_pattern(limit: int = 1000, overlap: int = 100) -> str:
     return f"(?s)(?:{first})|(?:{later})|.+"
 
 
-def piece_offsets(text: Column, limit: int = 1000, overlap: int = 100) -> Column:
-    """ARRAY<STRUCT<start_char INT, end_char INT>>, end exclusive, in code points; empty for null and empty texts."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit(cut_pattern(limit, overlap)), F.lit(0)), F.char_length)
-    none = F.expr("cast(array() as array<struct<start_char: int, end_char: int>>)")
+def run_lengths(text: Column, limit: int = 1000, overlap: int = 100) -> Column:
+    """ARRAY<INT> of the runs between cuts; one pass over the text."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(cut_pattern(limit, overlap)), F.lit(0)), F.char_length)
+
+
+def piece_offsets(runs: Column, overlap: int = 100, block: int = 256) -> Column:
+    """ARRAY<STRUCT<start_char INT, end_char INT>>, end exclusive, in code points, from a column of run lengths.
+
+    A fold copies what it has gathered at each step, so it runs over blocks: of runs for their sums, then of the sums,
+    then within each block from where it begins. `runs` must be a column as it stands, since it is read several times.
+    """
+    count = F.ceil(F.size(runs) / block).cast("int")
+    blocks = F.when(F.size(runs) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(runs, i * block + 1, block))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, n: s + n))
+    onwards = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+    begins = F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), onwards, lambda acc: acc["all"])
 
     def step(acc: Column, n: Column) -> Column:
         start = F.greatest(acc["end"] - F.lit(overlap), F.lit(0))
         piece = F.struct(start.alias("start_char"), (acc["end"] + n).alias("end_char"))
         return F.struct((acc["end"] + n).alias("end"), F.concat(acc["pieces"], F.array(piece)).alias("pieces"))
 
-    return F.aggregate(F.coalesce(runs, F.expr("cast(array() as array<int>)")), F.struct(F.lit(0).alias("end"), none.alias("pieces")), step, lambda acc: acc["pieces"])
+    none = F.expr("cast(array() as array<struct<start_char: int, end_char: int>>)")
+    return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("end"), none.alias("pieces")), step, lambda acc: acc["pieces"])))
 
 
 def split_oversized(df: DataFrame, key: str = "document_id", text: str = "content", limit: int = 1000, overlap: int = 100, with_text: bool = True) -> DataFrame:
@@ -57,9 +70,10 @@ def split_oversized(df: DataFrame, key: str = "document_id", text: str = "conten
     """
     long = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where(F.char_length("__text") > limit)
     if not with_text:
-        pieces = long.select("__key", F.inline(piece_offsets(F.col("__text"), limit, overlap)))
+        pieces = long.select("__key", run_lengths(F.col("__text"), limit, overlap).alias("__runs")).select("__key", F.inline(piece_offsets(F.col("__runs"), overlap)))
         return pieces.distinct().select(F.col("__key").alias(key), "start_char", "end_char")
-    pieces = long.distinct().select("__key", "__text", F.posexplode(piece_offsets(F.col("__text"), limit, overlap)).alias("piece_index", "__at"))
+    long = long.distinct().select("__key", "__text", run_lengths(F.col("__text"), limit, overlap).alias("__runs"))
+    pieces = long.select("__key", "__text", F.posexplode(piece_offsets(F.col("__runs"), overlap)).alias("piece_index", "__at"))
     piece = F.expr("substring(__text, __at.start_char + 1, __at.end_char - __at.start_char)")
     return pieces.select(
         F.col("__key").alias(key), "piece_index", F.col("__at.start_char"), F.col("__at.end_char"), piece.alias("content"), F.regexp_count(piece, F.lit(TOKEN)).alias("token_count")

@@ -48,6 +48,13 @@ def test_long_runs_and_blanks_across_cuts(spark):
     assert pieces_of(spark, texts, 1000, 100) == [brute(t) for t in texts]
 
 
+def test_texts_of_very_many_pieces(spark):
+    texts = ["ab c. d\n" * 1500, "x" * 25 * 256 + "y" * 5, "x" * (25 * 256 * 2 + 5), "ab c. d\n" * 8000]
+    found = pieces_of(spark, texts, 30, 5)
+    assert found[:3] == [brute(t, 30, 5) for t in texts[:3]]
+    assert len(found[3]) > 2000 and found[3][-1][1] == len(texts[3]) and all(b[0] == a[1] - 5 for a, b in zip(found[3], found[3][1:]))
+
+
 def test_text_tokens_nulls_and_repeats(spark):
     text = "one two. " * 30
     df = spark.createDataFrame([("a", text), ("a", text), ("b", None), (None, text)], "document_id string, content string")
