@@ -15,22 +15,32 @@ def build_context(hits: DataFrame, chunks: DataFrame, max_characters: int, stric
     """
     if max_characters < 1:
         raise ValueError("max_characters must be greater than 0")
-    texts = chunks.select("chunk_id", "content").dropDuplicates(["chunk_id"])
-    ordered = Window.partitionBy("query_id").orderBy(F.col("rank"), F.col("score").desc(), F.col("chunk_id"))
-    rows = hits.select("query_id", "chunk_id", "score", "rank").withColumn("_pos", F.row_number().over(ordered))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("_pos")) > 1)
-    rows = rows.join(texts, "chunk_id").withColumn("_part", F.concat(F.lit("["), "chunk_id", F.lit("]\n"), F.coalesce("content", F.lit(""))))
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    length = F.when(F.col("_copy"), 0).otherwise(F.length("_part"))
-    rows = rows.withColumn("_sum", F.sum(length).over(so_far)).withColumn("_no", F.sum((~F.col("_copy")).cast("int")).over(so_far))
+    texts = chunks.select("chunk_id", "content").groupBy("chunk_id").agg(F.min("content").alias("content"))
+    texts = texts.select("chunk_id", F.concat(F.lit("["), "chunk_id", F.lit("]\n"), F.coalesce("content", F.lit(""))).alias("_part"))
+    # the order of hits as one value: by rank, then the higher score (NaN highest, null last), then chunk
+    score = F.when(F.isnan("score"), float("-inf")).when(F.col("score").isNull(), float("inf")).otherwise(-F.col("score"))
+    keyed = hits.select("query_id", "chunk_id", F.struct("rank", score.alias("score"), "chunk_id").alias("_at"))
+    # lengths go to the hits; the texts themselves only to what is taken
+    keyed = keyed.join(texts.select("chunk_id", F.length("_part").alias("_length")), "chunk_id")
+    first = keyed.groupBy("query_id", "chunk_id").agg(F.min("_at").alias("_at"), F.first("_length").alias("_length"))
+    # no more parts than this can fit, so a query with very many hits is cut down where they are
+    order = Window.partitionBy("query_id").orderBy("_at")
+    first = first.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= max_characters // 3 + 2)
+    total = F.sum("_length").over(order.rowsBetween(Window.unboundedPreceding, 0))
     gaps = (F.col("_no") - 1) * 2 if strict else F.when(F.col("_no") > 1, 2).otherwise(0)
-    rows = rows.withColumn("_over", ~F.col("_copy") & (F.col("_sum") + gaps > max_characters))
-    rows = rows.withColumn("_stopped", F.max(F.col("_over").cast("int")).over(so_far) == 1)
-    taken = ~F.col("_stopped") & ~F.col("_copy")
-    parts = F.array_sort(F.collect_list(F.when(taken, F.struct("_pos", "chunk_id", "_part"))))
-    out = rows.groupBy("query_id").agg(parts.alias("_p"), F.sum((~F.col("_stopped") & F.col("_copy")).cast("bigint")).alias("deduplicated"), F.max("_over").alias("truncated"))
+    first = first.withColumn("_over", total + gaps > max_characters)
+    stops = first.groupBy("query_id").agg(F.min(F.when(F.col("_over"), F.col("_at"))).alias("_stop"))
+    before = F.col("_stop").isNull() | (F.col("_at") < F.col("_stop"))
+    taken = first.join(stops, "query_id").where(before).join(texts, "chunk_id")
+    parts = taken.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_no", "chunk_id", "_part"))).alias("_p"))
+    # later hits of a chunk, before that point
+    copies = keyed.select("query_id", "_at").join(stops, "query_id").where(before).groupBy("query_id").agg(F.count("*").alias("_hits"))
+    out = stops.join(parts, "query_id", "left").join(copies, "query_id", "left").withColumn("_p", F.coalesce("_p", F.expr("cast(array() as array<struct<_no: int, chunk_id: string, _part: string>>)")))
     text = F.array_join(F.col("_p._part"), "\n\n")
-    return out.select("query_id", text.alias("text"), F.col("_p.chunk_id").alias("chunk_ids"), F.length(text).alias("character_count"), "deduplicated", "truncated")
+    return out.select(
+        "query_id", text.alias("text"), F.col("_p.chunk_id").alias("chunk_ids"), F.length(text).alias("character_count"),
+        (F.coalesce("_hits", F.lit(0)) - F.size("_p")).cast("bigint").alias("deduplicated"), F.col("_stop").isNotNull().alias("truncated"),
+    )
 
 
 class PromptRegistry:

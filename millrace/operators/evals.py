@@ -15,19 +15,35 @@ def retrieval_metrics(qrels: DataFrame, rankings: DataFrame, group: list[str] |
     group = group or []
     relevant = qrels.select("case_id", "chunk_id").distinct()
     sizes = relevant.groupBy("case_id").agg(F.count("*").alias("n"))
-    cases = sizes if not group else sizes.join(F.broadcast(rankings.select(*group).distinct()))  # one row for each strategy
     hits = rankings.join(relevant, ["case_id", "chunk_id"])
     within = lambda k, c: F.when(F.col("rank") <= k, c)
     found = hits.groupBy("case_id", *group).agg(
         F.countDistinct(within(5, F.col("chunk_id"))).alias("r5"), F.countDistinct(within(10, F.col("chunk_id"))).alias("r10"), F.min("rank").alias("first"), F.sum(within(10, 1 / F.log2(F.col("rank") + 1))).alias("gain")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    each = cases.join(found, ["case_id", *group], "left").select(
-        *group, F.coalesce(F.col("r5") / F.col("n"), F.lit(0.0)).alias("a"), F.coalesce(F.col("r10") / F.col("n"), F.lit(0.0)).alias("b"),
-        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("c"), F.coalesce(F.col("gain") / ideal, F.lit(0.0)).alias("d"),
+    each = found.join(sizes, "case_id").select(*group, (F.col("r5") / F.col("n")).alias("a"), (F.col("r10") / F.col("n")).alias("b"), (1 / F.col("first")).alias("c"), (F.col("gain") / ideal).alias("d"))
+    # cases that a strategy found nothing for add nothing to its sums, but count
+    sums = each.groupBy(*group).agg(*[F.sum(c).alias(c) for c in "abcd"])
+    strategies = rankings.select(*group).distinct().join(sums, group, "left") if group else sums
+    cases = F.broadcast(sizes.agg(F.count("*").alias("cases")))  # one row
+    mean = lambda c, name: F.round(F.coalesce(F.col(c), F.lit(0.0)) / F.col("cases"), 6).alias(name)
+    return strategies.join(cases).where("cases > 0").select(*group, mean("a", "recall_at_5"), mean("b", "recall_at_10"), mean("c", "mrr"), mean("d", "ndcg_at_10"), "cases")
+
+
+def checked_cases(cases: DataFrame) -> DataFrame:
+    """`cases` (id, relevant_chunk_ids, rankings) as they are; an error where an id is blank or comes twice, where nothing is relevant,
+    where a ranking names a chunk twice, or where cases are ranked by different strategies."""
+    strategies = F.array_sort(F.map_keys("rankings"))
+    ids = cases.groupBy("id").agg(F.count("*").alias("_copies"), F.min(F.to_json(strategies)).alias("_s"))
+    every = ids.agg(F.min("_s").alias("_all"))
+    repeated = F.exists(F.map_values("rankings"), lambda r: F.size(r) != F.size(F.array_distinct(r)))
+    said = lambda text: F.concat(F.lit(f"{text}: "), F.coalesce("id", F.lit("null")))
+    fault = (
+        F.when(F.coalesce(F.trim("id"), F.lit("")) == "", said("case without id")).when(F.col("_copies") > 1, said("case twice")).when(F.coalesce(F.size("relevant_chunk_ids"), F.lit(0)) < 1, said("case without relevant chunks"))
+        .when(repeated, said("ranking with a chunk twice")).when(F.to_json(strategies) != F.col("_all"), said("case ranked by other strategies"))
     )
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return each.groupBy(*group).agg(mean("a", "recall_at_5"), mean("b", "recall_at_10"), mean("c", "mrr"), mean("d", "ndcg_at_10"), F.count("*").alias("cases"))
+    checked = cases.join(ids.select("id", "_copies"), "id", "left").join(F.broadcast(every))
+    return checked.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True))).select(*cases.columns)
 
 
 def missing_cases(qrels: DataFrame, rankings: DataFrame) -> DataFrame:
@@ -50,7 +66,7 @@ def chunk_quality(chunks: DataFrame, group: list[str] | None = None) -> DataFram
     rows = chunks.select(*group, F.length("content").alias("chars"), F.coalesce("token_count", F.lit(0)).alias("tokens"), F.when(placed, F.greatest(F.lit(0), before - F.col("start_char"))).alias("shared"), complete.cast("double").alias("complete"))
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
     return rows.groupBy(*group).agg(
-        F.count("*").alias("chunk_count"), zero(F.round(F.avg("chars"), 3), "avg_chars"), zero(F.percentile_disc("chars", 0.95) if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.95) within group (order by chars)").cast("double"), "p95_chars"),
+        F.count("*").alias("chunk_count"), zero(F.round(F.avg("chars"), 3), "avg_chars"), zero(F.expr("percentile_disc(0.95) within group (order by chars)").cast("double"), "p95_chars"),
         zero(F.round(F.avg("tokens"), 3), "avg_tokens"), zero(F.expr("percentile_disc(0.95) within group (order by tokens)").cast("double"), "p95_tokens"),
         zero(F.round(F.sum("shared") / F.sum("chars"), 6), "overlap_ratio"), zero(F.round(F.avg("complete"), 6), "context_complete_ratio"),
     )

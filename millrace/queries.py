@@ -34,6 +34,17 @@ def _chunks(spark: SparkSession, data: str, *columns: str) -> DataFrame:
     return table(spark, data, "chunks", "chunk_id", *columns).distinct()
 
 
+_indexes: dict[tuple[str, str], lexical.LexicalIndex] = {}
+
+
+def _index(spark: SparkSession, data: str) -> lexical.LexicalIndex:
+    """The lexical index of the chunks: written once in a session, then read by every query."""
+    key = (spark.sparkContext.applicationId, data)
+    if key not in _indexes:
+        _indexes[key] = lexical.build_index(_chunks(spark, data, "content"))
+    return _indexes[key]
+
+
 def _documents(spark: SparkSession, data: str) -> DataFrame:
     return table(spark, data, "source_docs", "document_id", "content").distinct()
 
@@ -137,11 +148,11 @@ def filter_text(spark, data):
 
 
 @query("""
-with p as (select distinct document_id, page_number from chunks where page_number % 5 = 0)
+with p as (select distinct document_id, page_number from chunks where page_number is not null)
 select distinct c.chunk_id, p.page_number as wanted_page from chunks c join p on c.document_id = p.document_id and c.page_number <= p.page_number and coalesce(c.end_page_number, c.page_number) >= p.page_number""")
 def pages_containing(spark, data):
     rows = table(spark, data, "chunks", "chunk_id", "document_id", "page_number", "end_page_number").distinct()
-    wanted = rows.where("page_number % 5 = 0").select("document_id", "page_number").distinct()
+    wanted = rows.where("page_number is not null").select("document_id", "page_number").distinct()
     return filters.containing_pages(rows, wanted).select("chunk_id", "wanted_page").distinct()
 
 
@@ -150,25 +161,25 @@ def pages_containing(spark, data):
 
 @query(f"with {_sql(BM25_SQL, allowed='')} select term, chunk_id, cast(tf as bigint) as tf, cast(length as bigint) as length from p")
 def bm25_postings(spark, data):
-    return lexical.build_index(_chunks(spark, data, "content")).postings
+    return _index(spark, data).postings
 
 
 @query(f"with {_sql(BM25_SQL, allowed='')} select term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) as idf from df cross join co")
 def bm25_terms(spark, data):
-    index = lexical.build_index(_chunks(spark, data, "content"))
+    index = _index(spark, data)
     return index.terms.join(F.broadcast(index.corpus)).select("term", "df", F.round(lexical.inverse_document_frequency(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 @query(f"with {_sql(BM25_SQL, allowed='')} {_sql(BM25_OUT, k=10)}")
 def bm25_topk(spark, data):
-    return lexical.bm25(table(spark, data, "queries", "query_id", "query"), lexical.build_index(_chunks(spark, data, "content")), 10)
+    return lexical.bm25(table(spark, data, "queries", "query_id", "query"), _index(spark, data), 10)
 
 
 @query(f"with {_sql(BM25_SQL, allowed='semi join (select chunk_id from chunks where has_table = false and chunk_role = $$standalone$$) al using (chunk_id)')} {_sql(BM25_OUT, k=5)}")
 def bm25_filtered(spark, data):
     rows = table(spark, data, "chunks", "chunk_id", "has_table", "chunk_role")
     allowed = rows.where(filters.predicate(rows, filters.Filter.exact(has_table=False, chunk_role="standalone")))
-    return lexical.bm25(table(spark, data, "queries", "query_id", "query"), lexical.build_index(_chunks(spark, data, "content")), 5, allowed=allowed)
+    return lexical.bm25(table(spark, data, "queries", "query_id", "query"), _index(spark, data), 5, allowed=allowed)
 
 
 # --- vectors ---
@@ -242,7 +253,7 @@ h1 as (select query_id, chunk_id, rank, 'dense' as retriever from dn where rank
 
 @query(f"with {_sql(_HYBRID, k=10)} select query_id, chunk_id, round(score, 9) as score, rank, 'rrf' as retriever, 'rrf_sources=' || sources as explanation from y where rank <= 10")
 def hybrid_topk(spark, data):
-    index = lexical.build_index(_chunks(spark, data, "content"))
+    index = _index(spark, data)
     fused = retrieval.hybrid(table(spark, data, "queries", "query_id", "query", "embedding"), index, table(spark, data, "vectors"), 10)
     return fused.withColumn("score", F.round("score", 9))
 
@@ -255,9 +266,9 @@ rr as (select *, cast(row_number() over (partition by query_id order by round(ra
 select query_id, chunk_id, round(1 / (1 + exp(-raw)), 9) as score, rank, 'cross_encoder' as retriever from rr where rank <= {{k}}"""
 
 
-@query(f"with hh as (select query_id, chunk_id from hits where retriever = 'bm25' and rank <= 20), {_sql(_RERANK, hits='hh', k=5)}")
+@query(f"with hh as (select query_id, chunk_id from hits where retriever = 'bm25'), {_sql(_RERANK, hits='hh', k=5)}")
 def rerank_topk(spark, data):
-    hits = table(spark, data, "hits").where("retriever = 'bm25' and rank <= 20")
+    hits = table(spark, data, "hits").where("retriever = 'bm25'")
     best = fusion.rerank(hits, table(spark, data, "queries"), table(spark, data, "chunks", "chunk_id", "content").distinct(), 5)
     return best.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", "retriever")
 
@@ -266,7 +277,7 @@ def rerank_topk(spark, data):
 def two_stage_topk(spark, data):
     asked = table(spark, data, "queries", "query_id", "query", "embedding")
     chunks = _chunks(spark, data, "content")
-    index = lexical.build_index(chunks)
+    index = _index(spark, data)
     best = retrieval.two_stage(asked, lambda n: retrieval.hybrid(asked, index, table(spark, data, "vectors"), n), chunks, 10, 50)
     return best.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", "retriever")
 
@@ -276,16 +287,15 @@ def two_stage_topk(spark, data):
 
 @query("""
 with c as (select chunk_id, min(content) as content from (select distinct chunk_id, content from chunks) group by 1),
-h as (select query_id, chunk_id, score, rank, row_number() over (partition by query_id order by rank, score desc, chunk_id) as pos from (select distinct query_id, chunk_id, score, rank from hits where retriever = 'dense' and rank is not null and not isnan(score))),
+h as (select query_id, chunk_id, score, rank, row_number() over (partition by query_id order by rank, score desc, chunk_id) as pos from (select distinct query_id, chunk_id, score, rank, retriever from hits where rank is not null and not isnan(score))),
 r as (select h.*, row_number() over (partition by query_id, chunk_id order by pos) > 1 as copy, '[' || chunk_id || ']' || chr(10) || coalesce(content, '') as part from h join c using (chunk_id)),
 s as (select *, sum(case when copy then 0 else len(part) end) over w as total, sum(case when copy then 0 else 1 end) over w as no from r window w as (partition by query_id order by pos rows unbounded preceding)),
 o as (select *, not copy and total + case when no > 1 then 2 else 0 end > 4000 as over_ from s),
 st as (select *, max(case when over_ then 1 else 0 end) over (partition by query_id order by pos rows unbounded preceding) = 1 as stopped from o)
-select query_id, coalesce(string_agg(part, chr(10) || chr(10) order by pos) filter (not stopped and not copy), '') as text, cast(sum(case when not stopped and copy then 1 else 0 end) as bigint) as deduplicated, bool_or(over_) as truncated from st group by 1""")
+select query_id, coalesce(string_agg(part, chr(10) || chr(10) order by pos) filter (not stopped and not copy), '') as text, cast(len(coalesce(string_agg(part, chr(10) || chr(10) order by pos) filter (not stopped and not copy), '')) as int) as character_count, cast(sum(case when not stopped and copy then 1 else 0 end) as bigint) as deduplicated, bool_or(over_) as truncated from st group by 1""")
 def context_build(spark, data):
-    hits = table(spark, data, "hits").where("retriever = 'dense' and rank is not null and not isnan(score)").select("query_id", "chunk_id", "score", "rank").distinct()
-    chunks = _chunks(spark, data, "content").groupBy("chunk_id").agg(F.min("content").alias("content"))
-    return context.build_context(hits, chunks, 4000).select("query_id", "text", "deduplicated", "truncated")
+    hits = table(spark, data, "hits").where("rank is not null and score is not null and not isnan(score)").select("query_id", "chunk_id", "score", "rank", "retriever").distinct()
+    return context.build_context(hits, _chunks(spark, data, "content"), 4000).select("query_id", "text", "character_count", "deduplicated", "truncated")
 
 
 # --- grids ---

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,17 +20,42 @@ def ask(spark, text):
 
 
 def test_bm25_matches_only_what_shares_terms(spark):
-    chunks = corpus(spark, [("a", "Qdrant vector payload filter"), ("b", "BM25 keyword search exact keyword matching"), ("c", "Dense embedding semantic retrieval"), ("e", None)])
-    hits = lexical.bm25(ask(spark, "keyword search keyword"), lexical.build_index(chunks), 2).collect()
-    assert [(h.chunk_id, h.rank, h.retriever, h.explanation) for h in hits] == [("b", 1, "bm25", "matched_terms=keyword,search")] and hits[0].score > 0
-    assert lexical.bm25(ask(spark, "unrelated"), lexical.build_index(chunks)).count() == 0
+    chunks = corpus(spark, [("a", "river stones under clear water"), ("b", "Lantern oil, lantern wick: trimmed"), ("c", "paper boats drift slowly"), ("e", None)])
+    hits = lexical.bm25(ask(spark, "lantern WICK lantern"), lexical.build_index(chunks), 2).collect()
+    assert [(h.chunk_id, h.rank, h.retriever, h.explanation) for h in hits] == [("b", 1, "bm25", "matched_terms=lantern,wick")]
+    assert lexical.bm25(ask(spark, "harbour"), lexical.build_index(chunks)).count() == 0
     assert lexical.bm25(ask(spark, "é!"), lexical.build_index(chunks)).count() == 0
     idf = math.log(1 + (4 - 1 + 0.5) / 1.5)
-    average = (4 + 6 + 4 + 0) / 4
-    part = lambda tf: idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 6 / average))
+    average = (5 + 5 + 4 + 0) / 4
+    part = lambda tf: idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 5 / average))
     assert hits[0].score == pytest.approx(part(2) + part(1), abs=1e-6)
 
 
+def test_bm25_in_small_cells_agrees_with_the_formula(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i}", " ".join(rng.choices(words, weights=range(30, 0, -1), k=rng.randrange(1, 30)))) for i in range(120)] + [("c1", "w0 w29 w29")]
+    asked = [(f"q{i}", " ".join(rng.sample(words, 4))) for i in range(15)]
+    texts = [(c, t.split()) for c, t in rows]
+    average = sum(len(t) for _, t in texts) / len(texts)
+    df = {w: sum(w in t for _, t in texts) for w in words}
+    want = {}
+    for q, text in asked:
+        score, held = {}, {}
+        for c, t in texts:
+            for w in set(text.split()) & set(t):
+                tf = t.count(w)
+                score[c] = score.get(c, 0) + math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / average))
+                held.setdefault(c, set()).add(w)
+        best = sorted((-round(x, 9), c) for c, x in score.items())[:5]
+        want[q] = [(c, i + 1, "matched_terms=" + ",".join(sorted(held[c]))) for i, (_, c) in enumerate(best)]
+    monkeypatch.setattr(lexical, "CHUNK_BLOCK", 17)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 4)
+    lexical.build_index(corpus(spark, rows + rows[:5])).write(str(tmp_path))
+    found = lexical.bm25(spark.createDataFrame(asked, "query_id string, query string"), lexical.LexicalIndex.read(spark, str(tmp_path)), 5).collect()
+    assert {q: [(h.chunk_id, h.rank, h.explanation) for h in sorted(found, key=lambda h: h.rank) if h.query_id == q] for q, _ in asked} == want
+
+
 def test_bm25_length_ties_and_filter(spark):
     chunks = corpus(spark, [("long", "hybrid search " + "filler " * 40), ("short", "hybrid search"), ("z", "tie word"), ("y", "tie word")])
     index = lexical.build_index(chunks)
@@ -43,18 +69,21 @@ def test_bm25_length_ties_and_filter(spark):
 
 
 def test_rrf(spark):
-    dense = spark.createDataFrame([("q", "dense-only", 0.9, 1, "dense"), ("q", "shared", 0.8, 2, "dense")], HIT)
-    words = spark.createDataFrame([("q", "shared", 3.0, 1, "bm25"), ("q", "bm25-only", 2.0, 2, "bm25")], HIT)
-    out = fusion.rrf([dense, words], 10).orderBy("rank").collect()
-    assert [o.chunk_id for o in out] == ["shared", "dense-only", "bm25-only"]
-    assert out[0].score == pytest.approx(1 / 62 + 1 / 61) and out[0].explanation == "rrf_sources=dense#2,bm25#1"
-
-
-def test_rrf_duplicates_and_ties(spark):
-    dense = spark.createDataFrame([("q", "shared", 0.9, 1, "dense"), ("q", "shared", 0.8, 2, "dense")], HIT)
-    words = spark.createDataFrame([("q", "lexical-only", 3.0, 1, "bm25")], HIT)
-    out = fusion.rrf([dense, words]).orderBy("rank").collect()
-    assert [(o.chunk_id, round(o.score, 9)) for o in out] == [("lexical-only", round(1 / 61, 9)), ("shared", round(1 / 61, 9))]
+    one = spark.createDataFrame([("q", "north", 0.9, 1, "dense"), ("q", "both", 0.4, 3, "dense")], HIT)
+    two = spark.createDataFrame([("q", "south", 7.0, 1, "bm25"), ("q", "both", 5.0, 2, "bm25")], HIT)
+    out = fusion.rrf([one, two], 10).orderBy("rank").collect()
+    assert [o.chunk_id for o in out] == ["both", "north", "south"]
+    assert out[0].score == pytest.approx(1 / 63 + 1 / 62) and out[0].explanation == "rrf_sources=dense#3,bm25#2"
+    assert [o.chunk_id for o in fusion.rrf([one, two], 1, rank_constant=1000).collect()] == ["both"]
+
+
+def test_rrf_counts_a_chunk_once_in_a_channel(spark):
+    one = spark.createDataFrame([("q", "twice", 0.9, 1, "dense"), ("q", "twice", 0.2, 4, "dense")], HIT)
+    two = spark.createDataFrame([("q", "once", 3.0, 1, "bm25")], HIT)
+    out = fusion.rrf([one, two]).orderBy("rank").collect()
+    assert [(o.chunk_id, round(o.score, 9)) for o in out] == [("once", round(1 / 61, 9)), ("twice", round(1 / 61, 9))]
+    with pytest.raises(ValueError):
+        fusion.rrf([])
 
 
 def test_rerank_orders_by_raw_score(spark):
@@ -139,6 +168,32 @@ def test_context_strictness_counts_every_separator(spark):
     assert len(context.build_context(hits, chunks, 20).first().chunk_ids) == 3 and len(context.build_context(hits, chunks, 20, strict=True).first().chunk_ids) == 2
 
 
+def test_context_agrees_with_taking_one_by_one(spark):
+    rng = random.Random(2)
+    texts = {f"c{i:02}": "x" * rng.randrange(0, 40) for i in range(30)}
+    hits = [(f"q{i % 7}", f"c{rng.randrange(34):02}", rng.choice([0.5, 0.7, None, float("nan")]), rng.randrange(1, 9), "r") for i in range(300)]
+    df = spark.createDataFrame(hits, HIT)
+    for strict in (False, True):
+        found = {r.query_id: r for r in context.build_context(df, corpus(spark, list(texts.items())), 150, strict).collect()}
+        for q in {h[0] for h in hits}:
+            score = lambda s: float("inf") if s is None else float("-inf") if s != s else -s
+            mine = sorted((h[3], score(h[2]), h[1]) for h in hits if h[0] == q and h[1] in texts)
+            taken, copies, size, over = [], 0, 0, False
+            for _, _, c in mine:
+                if c in taken:
+                    copies += 1
+                    continue
+                part = len(f"[{c}]\n{texts[c]}")
+                gaps = 2 * len(taken) if strict else 2 * bool(taken)
+                if size + part + gaps > 150:
+                    over = True
+                    break
+                taken.append(c)
+                size += part
+            r = found[q]
+            assert (r.chunk_ids, r.deduplicated, r.truncated) == (taken, copies, over) and r.text == "\n\n".join(f"[{c}]\n{texts[c]}" for c in taken)
+
+
 def test_prompts(spark):
     r = context.PromptRegistry().register("answer", "1.0.0", "s", "u", activate=True).register("answer", "1.1.0", "s", "u2")
     assert r.get("answer")["version"] == "1.0.0" and r.activate("answer", "1.1.0").get("answer")["version"] == "1.1.0" and r.versions("answer") == ("1.0.0", "1.1.0")

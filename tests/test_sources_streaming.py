@@ -31,7 +31,7 @@ def results(spark, tmp_path_factory):
     (root / "empty.md").write_text(" \n")
     docx(root / "b.docx", [("H1", "Title"), ("", "one"), ("H2", "Sub"), ("", "two"), ("", "  ")])
     (root / "broken.docx").write_bytes(b"no zip")
-    (root / "c.pdf").write_text(" page one \n\n paragraph \fpage two\fBAD\f  ")
+    (root / "c.pdf").write_text("  first sheet \n\n of text \fsecond sheet\fBAD\f  ")
     (root / "scan.pdf").write_text("  ")
     (root / "x.exe").write_bytes(b"?")
     found = parsers.files(spark, str(root))
@@ -41,21 +41,21 @@ def results(spark, tmp_path_factory):
 def test_statuses(results):
     rows = {r.name: r for r in results.collect()}
     assert {k: r.status for k, r in rows.items()} == {"a.MD": "succeeded", "empty.md": "succeeded", "b.docx": "succeeded", "broken.docx": "failed", "c.pdf": "partial", "scan.pdf": "failed", "x.exe": "failed"}
-    assert rows["c.pdf"].content == "page one\nparagraph\n\npage two" and rows["c.pdf"].errors == ["page failed"] and rows["c.pdf"].metadata == {"title": "PDF"}
+    assert rows["c.pdf"].content == "first sheet\nof text\n\nsecond sheet" and rows["c.pdf"].errors == ["page failed"] and rows["c.pdf"].metadata == {"title": "PDF"}
     assert "OCR" in rows["scan.pdf"].errors[0] and rows["b.docx"].title == "Title" and rows["a.MD"].title == "Guide" and rows["b.docx"].metadata["paragraph_count"] == "4"
 
 
 def test_chunks_of_each_type(results):
-    assert [(r.page_number, r.chunk_index, r.chunk_count, r.content) for r in parsers.page_chunks(results.where("name = 'c.pdf'")).orderBy("page_number").collect()] == [(1, 0, 3, "page one\nparagraph"), (2, 1, 3, "page two")]
+    assert [(r.page_number, r.chunk_index, r.chunk_count, r.content) for r in parsers.page_chunks(results.where("name = 'c.pdf'")).orderBy("page_number").collect()] == [(1, 0, 3, "first sheet\nof text"), (2, 1, 3, "second sheet")]
     assert [list(r.section_path) for r in parsers.paragraph_chunks(results).orderBy("chunk_index").collect()] == [["Title"], ["Title"], ["Title", "Sub"], ["Title", "Sub"]]
     assert [list(r.section_path) for r in parsers.section_chunks(results).orderBy("chunk_index").collect()] == [["Guide"], ["Guide", "Part"]]
 
 
 def test_ocr_and_structured(spark):
     schema = "source_uri string, page_number int, text string, status string, confidence double, errors array<string>"
-    scans = spark.createDataFrame([("u", 1, " page one ", "succeeded", 0.95, []), ("u", 2, None, "failed", None, ["page 2 low contrast"]), ("v", 1, " ", "succeeded", 0.5, None)], schema)
+    scans = spark.createDataFrame([("u", 1, " scanned words ", "succeeded", 0.95, []), ("u", 2, None, "failed", None, ["too dark to read"]), ("v", 1, " ", "succeeded", 0.5, None)], schema)
     rows = {r.source_uri: r for r in parsers.ocr_results(scans).collect()}
-    assert (rows["u"].status, rows["u"].errors, rows["u"].ocr_page_count, rows["u"].content) == ("partial", ["page 2 low contrast"], 2, "page one") and rows["v"].status == "failed"
+    assert (rows["u"].status, rows["u"].errors, rows["u"].ocr_page_count, rows["u"].content) == ("partial", ["too dark to read"], 2, "scanned words") and rows["v"].status == "failed"
     assert [(r.source_uri, r.chunk_index, r.chunk_count) for r in parsers.ocr_chunks(scans).collect()] == [("u", 0, 1)]
     md = spark.createDataFrame([("a", "# x", None), ("b", " ", None), ("c", None, "boom")], "source_uri string, markdown string, error string")
     assert {r.source_uri: (r.status, r.errors) for r in parsers.structured_chunks(md).collect()} == {"a": ("succeeded", []), "b": ("failed", ["No structured Markdown exported from PDF."]), "c": ("failed", ["boom"])}

@@ -9,16 +9,16 @@ def one(spark, value, column):
     return spark.createDataFrame([(value,)], "t string").select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("value,count", [("hello, RAG world!", 5), ("企业级 RAG", 4), ("", 0), ("a　b\x1cc", 3), ("state-of-the_art it's", 2), (None, None)])
+@pytest.mark.parametrize("value,count", [("cold, grey harbour?", 5), ("旧港口 map", 4), ("", 0), ("a　b\x1cc", 3), ("state-of-the_art it's", 2), (None, None)])
 def test_token_count(spark, value, count):
     assert one(spark, value, text.token_count(F.col("t"))) == count
 
 
 def test_truncate_and_fits(spark):
-    assert one(spark, "hello, RAG world!", text.truncate(F.col("t"), 3)) == "hello, RAG"
+    assert one(spark, "cold, grey harbour?", text.truncate(F.col("t"), 3)) == "cold, grey"
     assert one(spark, "hello", text.truncate(F.col("t"), 3)) == "hello"
     assert one(spark, "hello", text.truncate(F.col("t"), 0)) == ""
-    assert one(spark, "hello, RAG world!", text.fits(F.col("t"), 5)) is True
+    assert one(spark, "cold, grey harbour?", text.fits(F.col("t"), 5)) is True
     assert one(spark, "word " * 3000, F.length(text.truncate(F.col("t"), 1500))) == 1500 * 5 - 1
     with pytest.raises(ValueError):
         text.fits(F.col("t"), -1)
