@@ -13,6 +13,8 @@ BLANK = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 TOKEN = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+(?:[-_'][A-Za-z0-9]+)*|[^{BLANK}]"
 TOKEN_POSSESSIVE = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]++(?:[-_'][A-Za-z0-9]++)*+|[^{BLANK}]"
 SEARCH_TERM = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]"
+PYTHON_TOKEN = r"[一-鿿]|[A-Za-z0-9]+(?:[-_'][A-Za-z0-9]+)*|[^\s]"
+PYTHON_SEARCH_TERM = r"[A-Za-z0-9_]+|[一-鿿]"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -67,6 +69,31 @@ def external_token_count(text: Column, counter: Callable[[list[str]], list[int]]
     return count(text)
 
 
+def external_fits(text: Column, counter: Callable[[list[str]], list[int]], most: int) -> Column:
+    """Whether the text has at most `most` tokens of the caller's tokenizer."""
+    if most < 0:
+        raise ValueError("max_tokens must be greater than or equal to 0")
+    return external_token_count(text, counter) <= most
+
+
+def external_truncate(text: Column, encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], most: int) -> Column:
+    """The text of the first `most` tokens of the caller's tokenizer; texts that fit stay as they are, null stays null."""
+    if most < 0:
+        raise ValueError("max_tokens must be greater than or equal to 0")
+
+    @F.pandas_udf("string")
+    def cut(texts):
+        import pandas as pd
+
+        out = []
+        for t in texts.tolist():
+            ids = [] if t is None else encode(t)
+            out.append(t if t is None or len(ids) <= most else decode(ids[:most]))
+        return pd.Series(out, dtype=object)
+
+    return cut(text)
+
+
 def search_terms(text: Column) -> Column:
     """Lower-cased ASCII words and single CJK characters, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(f"({SEARCH_TERM})"), F.lit(1)), F.lower)
@@ -110,7 +137,7 @@ def token_offsets(text: Column) -> Column:
 
         import pandas as pd
 
-        pattern = re.compile(r"[一-鿿]|[A-Za-z0-9]+(?:[-_'][A-Za-z0-9]+)*|[^\s]")
+        pattern = re.compile(PYTHON_TOKEN)
         return pd.Series([None if t is None else [[m.start(), m.end()] for m in pattern.finditer(t)] for t in texts])
 
     return spans(text)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import content_hash, jaccard, sentence_units, term_set, token_count
+from millrace.functions.text import BLANK, PYTHON_TOKEN, content_hash, jaccard, sentence_units, term_set, token_count
 
 #: Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
@@ -111,8 +111,12 @@ def recursive(documents: DataFrame, size: int = 800, overlap: int = 120, separat
     return _described(rows, "RecursiveSplitter", "standalone").select(*COLUMNS)
 
 
-def parent_child(documents: DataFrame, parent_size: int = 1600, parent_overlap: int = 160, child_size: int = 400, child_overlap: int = 80) -> DataFrame:
-    """Parents and the children each is cut into; a child's offsets are the document's, its index and count those within its parent."""
+def parent_child(documents: DataFrame, parent_size: int = 1600, parent_overlap: int = 160, child_size: int = 400, child_overlap: int = 80, inherited: tuple[str, ...] = ()) -> DataFrame:
+    """Parents and the children each is cut into; a child's offsets are the document's, its index and count those within its parent.
+
+    Columns of `documents` named in `inherited` (page, section, tenant and the like) come with parents and children;
+    a document must then have one row.
+    """
     if child_size >= parent_size:
         raise ValueError("child_max_chars must be smaller than parent_max_chars")
     _check(child_size, child_overlap)
@@ -124,7 +128,8 @@ def parent_child(documents: DataFrame, parent_size: int = 1600, parent_overlap:
     children = _described(rows, "ParentChildSplitter", "child")
     # siblings of overlapping parents may share offsets
     children = children.withColumn("chunk_id", F.sha2(F.concat_ws("|", "parent_id", "chunk_id"), 256))
-    return parents.select(*COLUMNS, "parent_id").unionByName(children.select(*COLUMNS, "parent_id"))
+    both = parents.select(*COLUMNS, "parent_id").unionByName(children.select(*COLUMNS, "parent_id"))
+    return both.join(documents.select("document_id", *inherited), "document_id") if inherited else both
 
 
 _ENDS = ".!?。！？\n"
@@ -151,7 +156,7 @@ def semantic_groups(text: str, size: int = 800, least: int = 160, overlap: int |
     import re
 
     overlap = min(80, size // 10) if overlap is None else overlap
-    pattern = re.compile(r"[一-鿿]|[A-Za-z0-9]+(?:[-_'][A-Za-z0-9]+)*|[^\s]")
+    pattern = re.compile(PYTHON_TOKEN)
     groups: list[list] = []  # start, end, parts, length, terms
     for a, b in _units(text):
         part = text[a:b]
@@ -202,34 +207,49 @@ def adjacent_similarity(documents: DataFrame) -> DataFrame:
     return units.withColumn("_b", before).where("_b is not null").select("document_id", "unit", F.round(jaccard(F.col("_b"), F.col("_w")), 9).alias("similarity"))
 
 
-HEADING = r"^\s*(#{1,6}) (.*)$"
+HEADING = rf"^[{BLANK}]*(#{{1,6}}) (.*)$"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def heading_paths(rows: DataFrame, part: str, order: str, level: Column, title: Column) -> DataFrame:
+    """`rows` with section_path: the titles above each row of a `part` by `order`, its own last; level is null where there is no heading.
+
+    A heading of level n replaces the path from its place n on, or is added to a shorter one. So its depth is the least of
+    its level and one more than the depth before: with the headings counted, the count plus the least of (level - count)
+    so far. A title stays in the path while it is the last one of its depth. All of that are running windows.
+    """
+    so_far = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_level", level).withColumn("_title", title).withColumn("_count", F.count("_level").over(so_far))
+    depth = F.when(F.col("_level").isNotNull(), F.col("_count") + F.least(F.lit(0), F.min(F.when(F.col("_level").isNotNull(), F.col("_level") - F.col("_count"))).over(so_far)))
+    rows = rows.withColumn("_depth", depth).withColumn("_now", F.last("_depth", ignorenulls=True).over(so_far))
+    last = [F.last(F.when(F.col("_depth") == d, F.col("_title")), ignorenulls=True).over(so_far) for d in range(1, 7)]
+    path = F.slice(F.array(*last), F.lit(1), F.coalesce(F.col("_now"), F.lit(0)).cast("int"))
+    return rows.withColumn("section_path", path).drop("_level", "_title", "_count", "_depth", "_now")
 
 
 def markdown_sections(documents: DataFrame) -> DataFrame:
-    """document_id, chunk_index, chunk_count, section_path, content of Markdown documents, cut at headings.
+    """document_id, chunk_index, chunk_count, section_path, content, content_hash, splitter of Markdown documents, cut at headings.
 
-    A section begins with its heading line; text before the first has an empty path. A heading of level n
-    replaces the path from its place n on, or is added to a shorter one. Blank sections are dropped.
+    A section begins with its heading line; text before the first has an empty path. See `heading_paths` for the
+    path. Blank sections are dropped.
     """
     line = F.col("_l")
-    lines = documents.select("document_id", F.posexplode(F.split("content", "\n")).alias("_n", "_l"))
-    marks = lines.withColumn("_h", F.regexp_extract(line, HEADING, 1)).withColumn("_title", F.trim(F.regexp_extract(line, HEADING, 2)))
-    marks = marks.withColumn("_is", (F.col("_h") != "") & (F.col("_title") != ""))
+    lines = documents.select("document_id", F.posexplode(F.split("content", LINE_END)).alias("_n", "_l"))
+    marks = lines.withColumn("_h", F.regexp_extract(line, HEADING, 1)).withColumn("_t", F.regexp_replace(F.regexp_extract(line, HEADING, 2), rf"^[{BLANK}]+|[{BLANK}]+$", ""))
+    marks = marks.withColumn("_is", (F.col("_h") != "") & (F.col("_t") != ""))
     order = Window.partitionBy("document_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     marks = marks.withColumn("_section", F.sum(F.col("_is").cast("int")).over(order))
     sections = marks.groupBy("document_id", "_section").agg(
-        F.array_sort(F.collect_list(F.struct("_n", "_l"))).alias("_ls"), F.max(F.when(F.col("_is"), F.struct(F.length("_h").alias("level"), F.col("_title").alias("title")))).alias("_head")
+        F.array_sort(F.collect_list(F.struct("_n", "_l"))).alias("_ls"), F.max(F.when(F.col("_is"), F.struct(F.length("_h").alias("level"), F.col("_t").alias("title")))).alias("_head")
     )
-    content = F.regexp_replace(F.array_join(F.col("_ls._l"), "\n"), r"(?U)^\s+|\s+$", "")
-    # the path is a fold over the headings so far
-    heads = F.collect_list("_head").over(Window.partitionBy("document_id").orderBy("_section").rowsBetween(Window.unboundedPreceding, 0))
-    none = F.expr("cast(array() as array<string>)")
-    path = F.aggregate(heads, none, lambda p, h: F.concat(F.slice(p, 1, h["level"] - 1), F.array(h["title"])))
-    kept = sections.withColumn("content", content).withColumn("section_path", path).where("content <> ''")
+    content = F.regexp_replace(F.array_join(F.col("_ls._l"), "\n"), rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    kept = heading_paths(sections, "document_id", "_section", F.col("_head.level"), F.col("_head.title")).withColumn("content", content).where("content <> ''")
     by = Window.partitionBy("document_id")
     return kept.select(
-        "document_id", (F.row_number().over(by.orderBy("_section")) - 1).alias("chunk_index"), F.count("*").over(by).cast("int").alias("chunk_count"), "section_path", "content"
-    )
+        "document_id", (F.row_number().over(by.orderBy("_section")) - 1).alias("chunk_index"), F.count("*").over(by).cast("int").alias("chunk_count"), "section_path", "content",
+        content_hash(F.col("content")).alias("content_hash"), F.lit("MarkdownParser").alias("splitter"),
+    )
 
 
 def fixed(documents: DataFrame, size: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import BLANK
+from millrace.functions.text import BLANK, content_hash
 
 
 def _strip(c: Column) -> Column:
@@ -57,8 +57,10 @@ def to_json(rows: Column) -> Column:
     head = F.get(grid, F.lit(0))
     names = F.array_distinct(head)
     last = lambda n, r: F.get(F.reverse(F.filter(F.arrays_zip(head.alias("h"), r.alias("v")), lambda p: p["h"] == n)), F.lit(0))["v"]
-    records = F.transform(F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))), lambda r: F.map_from_arrays(names, F.transform(names, lambda n: last(n, r))))
-    return F.when(F.size(grid) < 2, F.lit("[]")).otherwise(F.to_json(records))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    pairs = lambda r: F.array_join(F.transform(names, lambda n: F.concat(quoted(n), F.lit(": "), quoted(last(n, r)))), ", ")
+    records = F.transform(F.slice(grid, 2, F.greatest(F.size(grid) - 1, F.lit(0))), lambda r: F.concat(F.lit("{"), pairs(r), F.lit("}")))
+    return F.when(F.size(grid) < 2, F.lit("[]")).otherwise(F.concat(F.lit("["), F.array_join(records, ", "), F.lit("]")))
 
 
 def shape(df: DataFrame, rows: str = "rows") -> DataFrame:
@@ -68,8 +70,10 @@ def shape(df: DataFrame, rows: str = "rows") -> DataFrame:
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:
-    """Chunks of type `table` from (document_id, source_uri, rows, caption, page_number, section_path)."""
-    return tables.select(
+    """Chunks of type `table` from (document_id, source_uri, rows, caption, page_number, section_path), with their hash, splitter and own offsets."""
+    chunks = tables.select(
         "document_id", "source_uri", to_markdown(F.col("rows"), F.col("caption")).alias("content"), F.lit("table").alias("chunk_type"), "page_number", F.col("page_number").alias("end_page_number"), "section_path",
         F.lit(True).alias("has_table"), F.create_map(F.lit("table_format"), F.lit("markdown")).alias("metadata"),
     )
+    # fixed value: the splitter's name
+    return chunks.withColumns({"content_hash": content_hash(F.col("content")), "splitter": F.lit("table_to_chunk"), "start_char": F.lit(0), "end_char": F.length("content")})

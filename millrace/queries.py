@@ -321,7 +321,7 @@ def grid_csv(spark, data):
     return _grid(spark, data).select("r_name", grids.to_csv(F.col("rows")).alias("csv"))
 
 
-@query(_GRID + """ select r_name, '[' || array_to_string(list_transform(b, lambda x: '{"Nation":"' || x[1] || '","Key\\nno":"' || replace(x[2], '"', '\\"') || '"}'), ',') || ']' as json from g""")
+@query(_GRID + """ select r_name, '[' || array_to_string(list_transform(b, lambda x: '{"Nation": "' || x[1] || '", "Key\\nno": "' || replace(x[2], '"', '\\"') || '"}'), ', ') || ']' as json from g""")
 def grid_json(spark, data):
     return _grid(spark, data).select("r_name", grids.to_json(F.col("rows")).alias("json"))
 
@@ -409,11 +409,6 @@ def chunk_fixed(spark, data):
     return chunking.fixed(_documents(spark, data), 500)
 
 
-@query()
-def chunk_recursive(spark, data):
-    return chunking.recursive(_documents(spark, data))
-
-
 @query("select document_id, true as within_size, true as offsets_hold, true as gapless from (select distinct document_id, content from source_docs where regexp_matches(content, '\\S'))")
 def chunk_recursive_checks(spark, data):
     docs = _documents(spark, data)
@@ -426,21 +421,6 @@ def chunk_recursive_checks(spark, data):
     return rows.groupBy("document_id").agg(F.min(F.length("content") <= 800).alias("within_size"), F.min(fits).alias("offsets_hold"), F.min(blank).alias("gapless"))
 
 
-@query()
-def chunk_parent_child(spark, data):
-    return chunking.parent_child(_documents(spark, data))
-
-
-@query()
-def chunk_semantic(spark, data):
-    return chunking.semantic(_documents(spark, data))
-
-
-@query()
-def markdown_sections(spark, data):
-    return chunking.markdown_sections(_documents(spark, data))
-
-
 # --- sources ---
 
 
@@ -453,15 +433,6 @@ def upload_dispatch(spark, data):
     return rows.select("document_id", parsers.document_type(F.col("source_uri")).alias("parser"), parsers.reject_reason(F.col("source_uri"), size, 20000).alias("reject")).distinct()
 
 
-@query()
-def ocr_parse(spark, data):
-    pages = table(spark, data, "chunks").where("splitter = 'OcrDocumentParser'").select(
-        F.col("document_id").alias("source_uri"), "page_number", F.col("content").alias("text"), F.when(F.col("content").isNull(), "failed").otherwise("succeeded").alias("status"),
-        F.lit(None).cast("double").alias("confidence"), F.when(F.col("content").isNull(), F.array(F.lit("no text"))).otherwise(F.expr("cast(array() as array<string>)")).alias("errors"),
-    ).distinct()
-    return parsers.ocr_results(pages)
-
-
 # --- ingestion ---
 
 _EVENTS = "case event_type when 'signup' then 'queued' when 'view' then 'started' when 'click' then 'started' when 'purchase' then 'succeeded' else 'failed' end"

@@ -117,7 +117,7 @@ def test_grids(spark):
     g = grid(spark, [["Name", "Value"], ["A|B", "line1\nline2"]], " Cap ")
     assert g.select(grids.to_markdown(F.col("rows"), F.col("caption")).alias("x")).first().x == "Cap\n\n| Name | Value |\n| --- | --- |\n| A\\|B | line1<br>line2 |"
     assert grid(spark, [["A", "B"], ["1"]]).select(grids.to_csv(F.col("rows")).alias("x")).first().x == "A,B\n1,\n"
-    assert grid(spark, [["name", "value", "name"], ["a", 'q"', "b"]]).select(grids.to_json(F.col("rows")).alias("x")).first().x == '[{"name":"b","value":"q\\""}]'
+    assert grid(spark, [["name", "value", "name"], ["a", 'q"', "b"]]).select(grids.to_json(F.col("rows")).alias("x")).first().x == '[{"name": "b", "value": "q\\""}]'
     for empty in ([], None):
         row = grid(spark, empty).select(grids.to_markdown(F.col("rows")).alias("m"), grids.to_csv(F.col("rows")).alias("c"), grids.to_json(F.col("rows")).alias("j")).first()
         assert tuple(row) == ("", "", "[]")

@@ -22,8 +22,11 @@ def docx(path, paragraphs):
 def results(spark, tmp_path_factory):
     def pages(data):
         out = []
+        def broken():
+            raise OSError("page failed")
+
         for page in data.decode().split("\f"):
-            out.append((None, 0, "page failed") if page == "BAD" else (page, 0, None))
+            out.append(broken if page == "BAD" else (page, 0, None) if page.startswith(" ") else lambda page=page: page)
         return {"title": "PDF", "author": ""}, out
 
     root = tmp_path_factory.mktemp("files")
@@ -41,7 +44,8 @@ def results(spark, tmp_path_factory):
 def test_statuses(results):
     rows = {r.name: r for r in results.collect()}
     assert {k: r.status for k, r in rows.items()} == {"a.MD": "succeeded", "empty.md": "succeeded", "b.docx": "succeeded", "broken.docx": "failed", "c.pdf": "partial", "scan.pdf": "failed", "x.exe": "failed"}
-    assert rows["c.pdf"].content == "first sheet\nof text\n\nsecond sheet" and rows["c.pdf"].errors == ["page failed"] and rows["c.pdf"].metadata == {"title": "PDF"}
+    assert rows["c.pdf"].content == "first sheet\nof text\n\nsecond sheet" and rows["c.pdf"].errors == ["page 3 of the pdf cannot be read: page failed"]
+    assert rows["c.pdf"].metadata == {"title": "PDF", "page_count": "4", "parser": "PdfTextParser"} and rows["broken.docx"].metadata == {"parser": "DocxParser"}
     assert "OCR" in rows["scan.pdf"].errors[0] and rows["b.docx"].title == "Title" and rows["a.MD"].title == "Guide" and rows["b.docx"].metadata["paragraph_count"] == "4"
 
 
@@ -55,10 +59,10 @@ def test_ocr_and_structured(spark):
     schema = "source_uri string, page_number int, text string, status string, confidence double, errors array<string>"
     scans = spark.createDataFrame([("u", 1, " scanned words ", "succeeded", 0.95, []), ("u", 2, None, "failed", None, ["too dark to read"]), ("v", 1, " ", "succeeded", 0.5, None)], schema)
     rows = {r.source_uri: r for r in parsers.ocr_results(scans).collect()}
-    assert (rows["u"].status, rows["u"].errors, rows["u"].ocr_page_count, rows["u"].content) == ("partial", ["too dark to read"], 2, "scanned words") and rows["v"].status == "failed"
-    assert [(r.source_uri, r.chunk_index, r.chunk_count) for r in parsers.ocr_chunks(scans).collect()] == [("u", 0, 1)]
+    assert (rows["u"].status, rows["u"].errors, rows["u"].ocr_page_count, rows["u"].content) == ("partial", ["too dark to read"], 2, " scanned words ") and rows["v"].status == "succeeded"
+    assert [(r.source_uri, r.chunk_index, r.chunk_count) for r in parsers.ocr_chunks(scans).orderBy("source_uri").collect()] == [("u", 0, 1), ("v", 0, 1)]
     md = spark.createDataFrame([("a", "# x", None), ("b", " ", None), ("c", None, "boom")], "source_uri string, markdown string, error string")
-    assert {r.source_uri: (r.status, r.errors) for r in parsers.structured_chunks(md).collect()} == {"a": ("succeeded", []), "b": ("failed", ["No structured Markdown exported from PDF."]), "c": ("failed", ["boom"])}
+    assert {r.source_uri: (r.status, r.errors) for r in parsers.structured_chunks(md).collect()} == {"a": ("succeeded", []), "b": ("failed", ["the conversion gave no text"]), "c": ("failed", ["boom"])}
 
 
 def test_uploads(spark):
@@ -105,6 +109,25 @@ def test_parse_many_and_state(spark):
     assert [r.stage for r in ingest.first_per_task(events).where("task_id = 'task-0'").orderBy("event_no").collect()] == ["queued", "started", "succeeded"]
 
 
+def test_ingest_with_cache(spark):
+    def parse(uri):
+        if uri == "bad":
+            raise RuntimeError("boom")
+        return "succeeded"
+
+    found = spark.createDataFrame([(0, "kept", "h1"), (1, "bad", "h2"), (2, "changed", "h4"), (3, "remote", None)], "queue_index int, source_uri string, content_hash string")
+    cache = spark.createDataFrame([("kept", "h1", "partial", 7.0), ("changed", "h3", "succeeded", 8.0)], "source_uri string, content_hash string, status string, elapsed_ms double")
+    done = ingest.ingest_many(found, cache, parse, slots=2)
+    assert [(r.queue_index, r.status, r.cached, r.message) for r in done.results.orderBy("queue_index").collect()] == [(0, "partial", True, None), (1, "failed", False, "boom"), (2, "succeeded", False, None), (3, "succeeded", False, None)]
+    stages = {}
+    for r in sorted(done.events.collect(), key=lambda r: r.progress):
+        stages.setdefault(r.task_id, []).append((r.stage, r.status))
+    assert stages["task-0"] == [("queued", None), ("started", None), ("cache_hit", "partial")] and stages["task-1"][-1] == ("failed", "failed")
+    assert sorted((r.source_uri, r.content_hash) for r in done.cache.collect()) == [("changed", "h4"), ("kept", "h1")]
+    again = ingest.ingest_many(found, done.cache, parse, slots=2)
+    assert {r.source_uri: r.cached for r in again.results.collect()} == {"kept": True, "bad": False, "changed": True, "remote": False}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
@@ -116,10 +139,14 @@ def test_streams(spark, tmp_path):
     for run in range(2):  # the second run finds nothing new
         q = ingest.ingest_stream(ingest.stream_files(spark, str(tmp_path / "in"), 2), parse, str(tmp_path / "cache"), str(tmp_path / "ck"))
         q.awaitTermination(120)
-        assert spark.read.parquet(str(tmp_path / "cache")).count() == 3
+        assert spark.read.parquet(str(tmp_path / "cache")).select("source_uri", "content_hash").distinct().count() == spark.read.parquet(str(tmp_path / "cache")).count() == 3
     events = spark.createDataFrame([("t", "queued", 0.0, "2024-01-01 00:00:00"), ("t", "started", 0.1, "2024-01-01 00:00:01"), ("u", "failed", 1.0, "2024-01-01 00:00:01")], "task_id string, stage string, progress double, created_at string")
     events.withColumn("created_at", F.col("created_at").cast("timestamp")).write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema("task_id string, stage string, progress double, created_at timestamp").parquet(str(tmp_path / "ev"))
-    ingest.stream_task_state(stream, "states", str(tmp_path / "ck2")).awaitTermination(120)
-    assert {(r.task_id, r.status) for r in spark.table("states").collect()} == {("t", "running"), ("u", "failed")}
-    assert ingest.stage_counts(spark.read.parquet(str(tmp_path / "ev"))).count() == 3
+    for more in ([], [("t", "succeeded", 1.0, "2024-01-01 00:00:05"), ("t", "started", 0.5, "2024-01-01 00:00:03")]):
+        if more:
+            spark.createDataFrame(more, events.schema).withColumn("created_at", F.col("created_at").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "ev"))
+        ingest.stream_task_state(stream, str(tmp_path / "states"), str(tmp_path / "ck2")).awaitTermination(120)
+        found = {(r.task_id, r.status, r.events) for r in ingest.read_task_state(spark, str(tmp_path / "states")).collect()}
+        assert found == ({("t", "succeeded", 4), ("u", "failed", 1)} if more else {("t", "running", 2), ("u", "failed", 1)})
+    assert ingest.stage_counts(spark.read.parquet(str(tmp_path / "ev"))).count() == 4
