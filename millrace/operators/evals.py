@@ -90,6 +90,12 @@ def index_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INDEX_PROFILES, "profile string, m int, ef_construct int, search_ef int, quantised boolean, payload_indexed boolean")
 
 
+def profile_faults() -> Column:
+    """Faults of a profile's parameters, ARRAY<STRING>; empty where there is none."""
+    rules = [(F.coalesce(F.trim("profile"), F.lit("")) == "", "profile has no name"), *[(F.coalesce(F.col(c), F.lit(0)) < 1, f"{c} is not above 0") for c in ("m", "ef_construct", "search_ef")]]
+    return F.filter(F.array(*[F.when(wrong, F.lit(text)) for wrong, text in rules]), lambda f: f.isNotNull())
+
+
 def estimate_index(profiles: DataFrame, vectors: int = 50_000, dimension: int = 1024, top_k: int = 5, selectivity: float = 0.05) -> DataFrame:
     """Recall, latency, memory and build cost of graph index parameters by a closed form, and the recommended default.
 
@@ -99,6 +105,8 @@ def estimate_index(profiles: DataFrame, vectors: int = 50_000, dimension: int =
     if vectors < 1 or dimension < 1 or top_k < 1 or not 0 < selectivity <= 1:
         raise ValueError("vectors, dimension and top_k must be positive, selectivity in (0, 1]")
     quantised = F.col("quantised")
+    faults = profile_faults()
+    profiles = profiles.where(F.when(F.size(faults) > 0, F.raise_error(F.array_join(faults, ", ")).cast("boolean")).otherwise(F.lit(True)))
     # fixed values of the model
     penalty = F.when(F.col("payload_indexed"), 0.0).otherwise(55.0 * (1 - selectivity))
     recall = F.least(F.lit(0.995), 0.63 + 0.032 * F.log2("search_ef") + 0.022 * F.log2("m") + 0.018 * F.log2("ef_construct") - F.when(quantised, 0.025).otherwise(0.0))
@@ -115,10 +123,15 @@ def estimate_index(profiles: DataFrame, vectors: int = 50_000, dimension: int =
     return rows.withColumn("recommendation", F.when(place == 1, "default").otherwise("")).drop("_i", "_fit")
 
 
-def markdown_report(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
-    """One line of a Markdown table for each row: numbers named in `decimals` with so many digits."""
-    cells: list[Column] = [F.format_string(f"%.{decimals[c]}f", F.col(c).cast("double")) if c in decimals else F.col(c).cast("string") for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+def markdown_report(df: DataFrame, decimals: dict[str, int], header: bool = False) -> DataFrame:
+    """One line of a Markdown table for each row: numbers named in `decimals` with so many digits. With `header`, `line_no` puts the head and its rule first."""
+    cells: list[Column] = [F.format_string(f"%.{decimals[c]}f", F.col(c).cast("double")) if c in decimals else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    if not header:
+        return lines
+    rule = " | ".join("---:" if c in decimals else "---" for c in df.columns)
+    head = df.sparkSession.createDataFrame([(0, f"| {' | '.join(df.columns)} |"), (1, f"| {rule} |")], "line_no long, line string")
+    return head.unionByName(lines.select((F.row_number().over(Window.orderBy("line")) + 1).cast("long").alias("line_no"), "line"))  # a report is a few lines
 
 
 def golden_summary(cases: DataFrame) -> DataFrame:

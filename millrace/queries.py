@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import filters, text
+from millrace.functions import filters, text, validation
 from millrace.operators import chunking, context, evals, fusion, grids, lexical, vectors
 from millrace.plans import retrieval
 from millrace.sources import parsers
@@ -156,6 +156,48 @@ def pages_containing(spark, data):
     return filters.containing_pages(rows, wanted).select("chunk_id", "wanted_page").distinct()
 
 
+# --- checks of rows ---
+
+_RULES = [*[f"case when coalesce({c}, '') = '' then '{c} is missing' end" for c in ("chunk_id", "document_id", "source_uri")], "case when content is null then 'content is missing' end", *[f"case when {c} < {n} then '{c} is below {n}' end" for c, n in validation.LEAST.items()]]
+_RULES += ["case when end_page_number < page_number then 'end_page_number is before page_number' end", "case when end_char < start_char then 'end_char is before start_char' end"]
+_RULES += ["case when coalesce(chunk_type, 'text') not in ('text', 'table', 'image', 'formula') then 'chunk_type is unknown' end", "case when coalesce(chunk_role, 'standalone') not in ('standalone', 'parent', 'child') then 'chunk_role is unknown' end"]
+#: Rows are dirtied alike in query and SQL, so that every rule has something to find.
+_DIRTY = """(select * replace (case when token_count > 250 then -token_count else token_count end as token_count, case when page_number > 5 then 1 else end_page_number end as end_page_number, case when has_table then 'grid' else chunk_type end as chunk_type,
+case when tenant_id is null then '' else source_uri end as source_uri) from (select distinct * exclude (metadata) from chunks))"""
+
+
+@query(f"select chunk_id, array_to_string(list_filter([{', '.join(_RULES)}], lambda x: x is not null), '; ') as faults, count(*) as rows from {_DIRTY} group by 1, 2 having faults <> ''")
+def chunk_quarantine(spark, data):
+    rows = table(spark, data, "chunks").drop("metadata").distinct().withColumns({
+        "token_count": F.when(F.col("token_count") > 250, -F.col("token_count")).otherwise(F.col("token_count")), "end_page_number": F.when(F.col("page_number") > 5, 1).otherwise(F.col("end_page_number")),
+        "chunk_type": F.when(F.col("has_table"), "grid").otherwise(F.col("chunk_type")), "source_uri": F.when(F.col("tenant_id").isNull(), "").otherwise(F.col("source_uri")),
+    })
+    _, bad = validation.quarantine(rows, validation.chunk_faults())
+    return bad.groupBy("chunk_id", F.array_join("faults", "; ").alias("faults")).agg(F.count("*").alias("rows"))
+
+
+@query(f"""
+with q as (select distinct query_id, case when top_k > 9 then '?! ' else query end as query, case when top_k > 9 then embedding[1:3] else embedding end as embedding, top_k from queries),
+f as (select query_id, {_sql(TERMS_SQL, "coalesce(query, '')")} as w, regexp_replace(coalesce(query, ''), '[{text.BLANK}]', '', 'g') = '' as blank, embedding, top_k from q)
+select query_id, array_to_string(list_filter([case when coalesce(query_id, '') = '' then 'query_id is missing' end, case when blank then 'query is blank' end, case when not blank and len(w) = 0 then 'query has no searchable term' end,
+case when coalesce(len(embedding), 0) < 1 then 'embedding is missing' end, case when len(embedding) >= 1 and len(embedding) <> 64 then 'embedding has not 64 values' end, case when coalesce(top_k, 0) < 1 then 'top_k is not above 0' end], lambda x: x is not null), '; ') as faults from f where faults <> ''""")
+def query_quarantine(spark, data):
+    rows = table(spark, data, "queries").distinct().withColumn("query", F.when(F.col("top_k") > 9, "?! ").otherwise(F.col("query"))).withColumn("embedding", F.when(F.col("top_k") > 9, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    return validation.quarantine(rows, validation.query_faults())[1].select("query_id", F.array_join("faults", "; ").alias("faults"))
+
+
+_PLAIN = "chunk_id, document_id, content, source_uri, coalesce(chunk_type, 'text') as chunk_type, parent_id, tenant_id, content_hash, coalesce(chunk_role, 'standalone') as chunk_role, splitter, " + ", ".join(validation.LEAST)
+
+
+@query(f"""
+select distinct {_PLAIN}, array_to_string(coalesce(section_path, []), '/') as section_path, coalesce(has_table, false) as has_table, array_to_string(list_filter([case when chunk_id is null then 'chunk_id is missing' end, case when document_id is null then 'document_id is missing' end, case when content is null then 'content is missing' end, case when source_uri is null then 'source_uri is missing' end], lambda x: x is not null), '; ') as faults from chunks""")
+def payload_round_trip(spark, data):
+    """Chunks to the JSON beside their vectors and back."""
+    stored = table(spark, data, "chunks").select(validation.to_payload().alias("payload"))
+    rows = validation.from_payload(stored).drop("metadata").withColumn("section_path", F.array_join("section_path", "/"))
+    return rows.withColumn("faults", F.array_join("faults", "; ")).distinct()
+
+
 # --- lexical ---
 
 
@@ -383,11 +425,23 @@ with p as (select * from (values {_PROFILES}) p(profile, m, ec, se, qz, px)),
 r as (select profile, round(least(0.995, 0.63 + 0.032 * log2(se) + 0.022 * log2(m) + 0.018 * log2(ec) - case when qz = 1 then 0.025 else 0 end), 3) as recall,
  round((2.0 + 1.6 * log10(50000) + 0.045 * se + 0.9 + case when px = 1 then 0 else 52.25 end) * case when qz = 1 then 0.88 else 1 end, 3) as p95_ms,
  round(cast(50000 * 1024 * case when qz = 1 then 1 else 4 end + 50000 * m * 8 as double) / 1048576, 3) as memory_mb, round(50000 * m * ec / 1e6, 3) as build_cost, case when px = 1 then 0.0 else 52.25 end as filter_penalty_ms from p)
-select profile, cast(recall as double) as recall, cast(p95_ms as double) as p95_ms, cast(memory_mb as double) as memory_mb, cast(build_cost as double) as build_cost, cast(filter_penalty_ms as double) as filter_penalty_ms, case when profile = 'balanced' then 'default' else '' end as recommendation from r""")
+select profile, cast(recall as double) as recall, cast(p95_ms as double) as p95_ms, cast(memory_mb as double) as memory_mb, cast(build_cost as double) as build_cost, cast(filter_penalty_ms as double) as filter_penalty_ms, 
+case when row_number() over (order by (filter_penalty_ms = 0 and recall >= best - 0.005) desc, p95_ms + 0.005 * memory_mb + 0.02 * build_cost) = 1 then 'default' else '' end as recommendation from (select *, max(recall) over () as best from r)""")
 def index_profiles(spark, data):
     return evals.estimate_index(evals.index_profiles(spark))
 
 
+_REPORT = "'| low_latency | 0.984 | 11.703 |', '| balanced | 0.995 | 16.178 |', '| high_recall | 0.995 | 21.938 |', '| filtered_without_payload_index | 0.995 | 68.428 |'"
+
+
+@query(f"""
+select 0 as line_no, '| profile | recall | p95_ms |' as line union all select 1, '| --- | ---: | ---: |' union all select 1 + row_number() over (order by l), l from (select unnest([{_REPORT}]) as l)""")
+def index_report(spark, data):
+    """Against the published figures of the four profiles."""
+    rows = evals.estimate_index(evals.index_profiles(spark)).select("profile", "recall", "p95_ms")
+    return evals.markdown_report(rows, {"recall": 3, "p95_ms": 3}, header=True)
+
+
 @query("""
 select case when grouping(doc_type) = 0 then 'type:' || doc_type when grouping(splitter) = 0 then 'parser:' || splitter else 'case_count' end as key, count(*) as cases
 from (select d.document_id, d.doc_type, coalesce(c.splitter, 'none') as splitter from (select distinct document_id, doc_type from source_docs) d left join (select document_id, min(splitter) as splitter from chunks group by 1) c using (document_id))
