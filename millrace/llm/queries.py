@@ -167,7 +167,19 @@ def p7_found(spark: SparkSession, data: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
-@query()
+@query("""
+with recursive w as (select distinct chunk_id, list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+|[一-鿿]'), lambda x: lower(x)) as w from chunks where chunk_id is not null),
+t as (select chunk_id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as s from w where len(w) >= 30),
+c as (select s, row_number() over () as c, len(s) as n from (select distinct s from t)),
+m as (select distinct c, chunk_id from t join c using (s)),
+u as (select c, unnest(s) as s from c),
+p as (select a.c as a, b.c as b, count(*) as shared from u a join u b on a.s = b.s and a.c < b.c group by 1, 2),
+k as (select a, b from p join c x on a = x.c join c y on b = y.c where shared >= 0.7 * (x.n + y.n - shared) - 1e-9),
+e as (select a, b from k union all select b, a from k),
+r as (select c as a, c as b from c union select r.a, e.b from r join e on r.b = e.a),
+g as (select r.a as c, min(chunk_id) as group_id from r join m on r.b = m.c group by 1)
+select distinct chunk_id as id, group_id, copies from m join g using (c) join (select c, count(*) as copies from m group by 1) using (c)
+""")
 def p7_groups(spark: SparkSession, data: str) -> DataFrame:
     return neardup.near_groups(table(spark, data, "chunks", "chunk_id", "content"), threshold=0.7)
 
