@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import chunking, grids
+from millrace.plans import sql
 from millrace.queries import TOKEN_SQL, WORDS_SQL, _documents, _sql, query
 from millrace.sources import parsers
 from millrace.sources.tables import table
@@ -221,6 +222,15 @@ def chunk_recursive(spark, data):
     return chunking.recursive(_documents(spark, data))
 
 
+@query(f"""with recursive {_SOURCE}, {_recursive_sql('sd', 'rs', 500, 50)}
+select k as document_id, cast(i as int) as chunk_index, cast(s as int) as start_char, cast(e as int) as end_char, substring(t, s + 1, e - s) as content from rs join sd using (k)""")
+def sql_split(spark, data):
+    """A splitter as a table function."""
+    sql.register(spark)
+    _documents(spark, data).createOrReplaceTempView("distinct_docs")
+    return spark.sql("select document_id, c.* from distinct_docs, lateral split_recursive(content, 500, 50) c")
+
+
 @query(f"""with recursive {_SOURCE}, {_recursive_sql('sd', 'pa', 1600, 160)},
 par as (select {_described_sql('parent', 'ParentChildSplitter', '(select k as document_id, substring(t, s + 1, e - s) as content, s, e, i, n from pa join sd using (k))')}),
 pk as (select chunk_id as k, content as t from par), {_recursive_sql('pk', 'ch', 400, 80)},

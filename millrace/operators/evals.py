@@ -82,6 +82,19 @@ def latency_percentiles(events: DataFrame, task: str, stage: str, at: str, first
     return done.agg(F.count("*").alias("tasks"), F.round(pct(0.5), 3).alias("p50_ms"), F.round(pct(0.95), 3).alias("p95_ms"), F.round(F.max("ms"), 3).alias("max_ms"), F.round(F.when(span > 0, F.count("*") / span), 6).alias("throughput"))
 
 
+def concurrency(events: DataFrame, task: str, stage: str, at: str, first: str, last: tuple[str, ...], group: list[str] | None = None) -> DataFrame:
+    """group, most_at_once, tasks: the most tasks that ran at one time, from their first event of stage `first` to the terminal one.
+
+    Starts and ends are counted a moment at a time before they are summed up; at one moment ends come before starts.
+    """
+    group = group or []
+    spans = events.groupBy(*group, task).agg(F.min(F.when(F.col(stage) == first, F.col(at))).alias("a"), F.max(F.when(F.col(stage).isin(*last), F.col(at))).alias("b")).where("a < b")
+    steps = spans.select(*group, F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("step")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("step")))).alias("s")).select(*group, "s.*")
+    moments = steps.groupBy(*group, "at").agg(F.sum("step").alias("step"), F.sum(F.when(F.col("step") > 0, 1).otherwise(0)).alias("starts"))
+    running = F.sum("step").over(Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return moments.withColumn("running", running).groupBy(*group).agg(F.max("running").cast("int").alias("most_at_once"), F.sum("starts").alias("tasks"))
+
+
 #: Name, links of a node, search width at build and at query, scalar quantisation, payload index.
 INDEX_PROFILES = (("low_latency", 12, 64, 64, True, True), ("balanced", 16, 128, 128, False, True), ("high_recall", 32, 256, 256, False, True), ("filtered_without_payload_index", 16, 128, 128, False, False))
 

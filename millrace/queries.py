@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import filters, text, validation
 from millrace.operators import chunking, context, evals, fusion, grids, lexical, vectors
-from millrace.plans import retrieval
+from millrace.plans import retrieval, sql
+from millrace.session import shared_folder
 from millrace.sources import parsers
 from millrace.sources.tables import table
 from millrace.streaming import ingest
@@ -224,6 +225,14 @@ def bm25_filtered(spark, data):
     return lexical.bm25(table(spark, data, "queries", "query_id", "query"), _index(spark, data), 5, allowed=allowed)
 
 
+@query(f"with {_sql(BM25_SQL, allowed='')} {_sql(BM25_OUT, k=3)}")
+def bm25_written(spark, data):
+    """From an index written to files and read again."""
+    path = shared_folder(spark, "index-" + data.strip("/").replace("/", "-"))
+    _index(spark, data).write(path)
+    return lexical.bm25(table(spark, data, "queries", "query_id", "query"), lexical.LexicalIndex.read(spark, path), 3)
+
+
 # --- vectors ---
 
 
@@ -518,6 +527,39 @@ def cache_split(spark, data):
     return hits.withColumn("hit", F.lit(True)).unionByName(todo.withColumn("hit", F.lit(False)))
 
 
+@query("""
+with t as (select event_type, user_id, hour(ts) as h, ts from events),
+s as (select h, user_id, min(case when event_type = 'view' then ts end) as a, max(case when event_type in ('purchase', 'error') then ts end) as b from t group by 1, 2),
+v as (select h, a as moment, 1 as step from s where a < b union all select h, b, -1 from s where a < b),
+m as (select h, moment, sum(step) as step, sum(case when step > 0 then 1 else 0 end) as starts from v group by 1, 2),
+r as (select h, starts, sum(step) over (partition by h order by moment rows unbounded preceding) as running from m)
+select cast(h as int) as h, cast(max(running) as int) as most_at_once, cast(sum(starts) as bigint) as tasks from r group by 1""")
+def task_concurrency(spark, data):
+    events = table(spark, data, "events").withColumn("h", F.hour("ts"))
+    return evals.concurrency(events, "user_id", "event_type", "ts", "view", ("purchase", "error"), ["h"])
+
+
+# --- in SQL ---
+
+
+@query(f"""
+with d as (select distinct chunk_id, content, coalesce(len(regexp_extract_all(content, '{TOKEN_SQL}')), 0) as tokens from chunks where len(regexp_extract_all(content, '{TOKEN_SQL}')) <= 60)
+select chunk_id, cast(tokens as int) as tokens, sha256(content) as hash, round(case when len({_sql(WORDS_SQL, 'content')}) = 0 then 0 else len(list_intersect({_sql(WORDS_SQL, 'content')}, ['the', 'of', 'and'])) / (len({_sql(WORDS_SQL, 'content')}) + 3 - len(list_intersect({_sql(WORDS_SQL, 'content')}, ['the', 'of', 'and']))) end, 9) as near from d""")
+def sql_functions(spark, data):
+    sql.register(spark, data, ("chunks",))
+    return spark.sql("select distinct chunk_id, token_count(content) as tokens, content_hash(content) as hash, round(jaccard(term_set(content), array('the', 'of', 'and')), 9) as near from chunks where token_fits(content, 60)")
+
+
+@query("""
+select o_orderpriority, strftime(date_trunc('month', o_orderdate), '%Y-%m') as month, cast(count(*) as bigint) as orders, cast(max(datediff('day', o_orderdate, last_day(o_orderdate))) as int) as most_left, cast(sum(case when isodow(o_orderdate) > 5 then 1 else 0 end) as bigint) as weekend
+from orders where o_orderdate >= date '1995-01-01' and o_orderdate < date '1996-01-01' group by 1, 2""")
+def sql_orders_by_month(spark, data):
+    sql.register(spark, data, ("orders",))
+    return spark.sql("""
+        select o_orderpriority, date_format(date_trunc('month', o_orderdate), 'yyyy-MM') as month, count(*) as orders, max(datediff(last_day(o_orderdate), o_orderdate)) as most_left, sum(case when weekday(o_orderdate) > 4 then 1 else 0 end) as weekend
+        from orders where o_orderdate >= date '1995-01-01' and o_orderdate < date '1996-01-01' group by 1, 2""")
+
+
 # --- relational ---
 
 

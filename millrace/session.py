@@ -30,14 +30,9 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, driver_memory: str
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage by a checkpoint in the cluster's shared folder.
-
-    The folder is `spark.checkpoint.dir` of the session. Where that is unset, a session
-    in one process (as in tests) gets a temporary folder that goes with it; on a
-    cluster that is an error, since no other machine could read such a folder.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from `spark.checkpoint.dir` or, in one process, to a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -46,9 +41,25 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage by a checkpoint in the cluster's shared folder.
+
+    The folder is `spark.checkpoint.dir` of the session. Where that is unset, a session
+    in one process (as in tests) gets a temporary folder that goes with it; on a
+    cluster that is an error, since no other machine could read such a folder.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name beside the session's checkpoints, for tables that are written to be read again."""
+    return f"{_checkpoint_folder(spark).rstrip('/')}/{name}"
+
+
 _shipped: set[str] = set()
 
 
