@@ -40,7 +40,7 @@ _indexes: dict[tuple[str, str], lexical.LexicalIndex] = {}
 
 def _index(spark: SparkSession, data: str) -> lexical.LexicalIndex:
     """The lexical index of the chunks: written once in a session, then read by every query."""
-    key = (spark.sparkContext.applicationId, data)
+    key = (f"{spark.sparkContext.applicationId} {spark._jsparkSession.hashCode()}", data)
     if key not in _indexes:
         _indexes[key] = lexical.build_index(_chunks(spark, data, "content"))
     return _indexes[key]
