@@ -43,6 +43,8 @@ EXPANDED = 32
 LEAST_BITS, MOST_BITS = 1 << 18, 1 << 27
 #: Tasks that share the rows of one key in a join.
 SALTS = 8
+#: Popular cells that are broadcast to tell their rows apart (a megabyte); if there are more, all cells' rows are dealt out.
+MOST_POPULAR = 50_000
 WORDS_KEPT = 1_000_000
 
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[一-鿿]")
@@ -249,7 +251,16 @@ def _cell_candidates(points: DataFrame, classes: DataFrame, threshold: float, wh
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     else:
         sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("family").alias("least"), F.max("family").alias("most")).where("least <> most").select("key", "size")
-    routed = _salted(keyed.select("key", "cls"), "cls", sizes, "key")
+    sizes = durable(sizes)
+    popular = sizes.where(F.col("size") > BLOCK).select("key")
+    if popular.count() <= MOST_POPULAR:  # they alone are dealt to several tasks
+        popular = F.broadcast(popular.withColumn("popular", F.lit(True)))
+        salt = F.when(F.col("popular"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        dealt = keyed.select("key", "cls").join(popular, "key", "left").withColumn("salt", salt).drop("popular")
+        copies = F.explode(F.when(F.col("size") > BLOCK, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        routed = dealt.join(sizes.withColumn("salt", copies), ["key", "salt"]).drop("salt")
+    else:
+        routed = _salted(keyed.select("key", "cls"), "cls", sizes, "key")
     routed = routed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
@@ -275,10 +286,11 @@ def _sieve(ends: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def _verified(texts: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of the candidates that reach the threshold, by the shingles of the texts that stand for their classes."""
+def _verified(texts: DataFrame, found: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of the candidates that reach the threshold, by the shingles of the texts that stand for their classes: those of smallest id."""
     candidates = durable(candidates)
-    ends = durable(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls"))
+    first = found.groupBy("cls").agg(F.min("id").alias("id"))
+    ends = durable(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(first, "cls"))
     wanted = ends.count()
     bits = max(LEAST_BITS, 1 << (16 * wanted).bit_length())
     if bits <= MOST_BITS:
@@ -299,11 +311,11 @@ def _verified(texts: DataFrame, classes: DataFrame, candidates: DataFrame, thres
                     continue
                 n = n[rows]
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(pair.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(_classes(pair, n)), sets], names=["id", "cls", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(_classes(pair, n)), sets], names=["cls", "s"])
 
-    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(again, "id string, cls bigint, s array<bigint>")
-    # an id may come with several contents: only the one of the class that it stands for
-    sets = sets.join(ends, ["id", "cls"]).groupBy("cls").agg(F.first("s").alias("s"))
+    sets = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(again, "cls bigint, s array<bigint>")
+    # an id may come with several contents: each stands for its own class
+    sets = sets.groupBy("cls").agg(F.first("s").alias("s"))
     both = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     both = both.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))
@@ -318,7 +330,7 @@ def _class_points(found: DataFrame) -> DataFrame:
 def class_links(texts: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of all pairs of classes of `found` (points of `texts`: id, text) that reach the threshold."""
     classes = _class_points(found)
-    return _verified(texts, classes, _cell_candidates(found.withColumn("family", F.col("cls")), classes, threshold, True), threshold)
+    return _verified(texts, found, _cell_candidates(found.withColumn("family", F.col("cls")), classes, threshold, True), threshold)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -391,10 +403,10 @@ def near_groups(df: DataFrame, key: str = "chunk_id", text: str = "content", thr
     texts = _prepared(df, key, text)
     found = durable(points(texts))
     classes = _class_points(found)
-    stars = durable(_verified(texts, classes, _hub_candidates(found.withColumn("family", F.col("cls")), classes, threshold), threshold).select("a", "b"))
+    stars = durable(_verified(texts, found, _hub_candidates(found.withColumn("family", F.col("cls")), classes, threshold), threshold).select("a", "b"))
     families = components(stars)
     related = classes.drop("family").join(families.withColumnRenamed("label", "family"), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
-    others = durable(_verified(texts, related, _cell_candidates(found.join(related.select("cls", "family"), "cls"), related, threshold, False), threshold).select("a", "b"))
+    others = durable(_verified(texts, found, _cell_candidates(found.join(related.select("cls", "family"), "cls"), related, threshold, False), threshold).select("a", "b"))
     labels = families if others.isEmpty() else components(stars.unionByName(others))
 
     members = found.select("cls", "id").distinct()

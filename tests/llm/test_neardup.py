@@ -115,8 +115,10 @@ def test_groups_are_the_components_of_all_pairs(spark, monkeypatch):
     assert len({g for k, g in group.items() if k.startswith("chain")}) < 6
 
 
-def test_a_family_of_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("popular", [50_000, 0])
+def test_a_family_of_many_near_copies(spark, monkeypatch, popular):
     monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "MOST_POPULAR", popular)
     base = [f"{w}" for w in WORDS[:120]]
     rows = [(f"f{i:04}", " ".join([*base, f"n{i}"])) for i in range(600)]
     df = spark.createDataFrame(rows, "chunk_id string, content string")
