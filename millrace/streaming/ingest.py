@@ -203,7 +203,8 @@ def ingest_stream(found: DataFrame, parse: Callable[[DataFrame], DataFrame], cac
     `parse` turns (source_uri, content, content_hash) into results with a status. A batch that runs again after a
     failure finds its results in the cache. Equal files of a batch are parsed once. The cache is kept in 256 parts by the hash of the uri.
     """
-    bucket = F.substring(F.sha2("source_uri", 256), 1, 2)
+    # begins with a letter that makes no number of it, as which folder names would be read
+    bucket = F.concat(F.lit("p"), F.substring(F.sha2("source_uri", 256), 1, 2))
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
