@@ -20,7 +20,7 @@ Learned partitions, as many as the collection asks for:
    final window keeps k for each query.
 
 Only the fits are on samples; every usable row is indexed. The models are bounded
-(FIRST_PARTS pairs of networks below 100 kB each) and travel with the functions.
+(FIRST_PARTS + 1 pairs of networks below 170 kB each) and travel with the functions.
 With `parts=1` the search is exact.
 """
 
