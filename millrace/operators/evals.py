@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def retrieval_metrics(qrels: DataFrame, rankings: DataFrame, group: list[str] | None = None) -> DataFrame:
+def retrieval_metrics(qrels: DataFrame, rankings: DataFrame, group: list[str] | None = None, strict: bool = False) -> DataFrame:
     """recall_at_5, recall_at_10, mrr, ndcg_at_10, cases: averages over the cases of qrels (case_id, chunk_id).
 
     `rankings` has case_id, chunk_id, rank and the columns of `group`. Recall counts a chunk once, NDCG each
-    time; the reciprocal rank looks at the whole ranking. Cases without ranking count as 0 (see `missing_cases`).
+    time; the reciprocal rank looks at the whole ranking. Cases without ranking count as 0 (see `missing_cases`), or
+    are an error if `strict`, as is a table without cases (which is looked at then and there).
     """
     group = group or []
     relevant = qrels.select("case_id", "chunk_id").distinct()
     sizes = relevant.groupBy("case_id").agg(F.count("*").alias("n"))
+    if strict:
+        if sizes.isEmpty():
+            raise ValueError("there are no cases")
+        if missing := [r.case_id for r in missing_cases(qrels, rankings).orderBy("case_id").take(20)]:
+            raise ValueError(f"cases without ranking: {', '.join(map(str, missing))}")
     hits = rankings.join(relevant, ["case_id", "chunk_id"])
     within = lambda k, c: F.when(F.col("rank") <= k, c)
     found = hits.groupBy("case_id", *group).agg(

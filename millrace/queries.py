@@ -513,6 +513,17 @@ def task_state(spark, data):
     return ingest.task_state(_task_events(spark, data)).drop("updated_at")
 
 
+@query(f"""
+with e as (select cast(user_id as varchar) as task_id, {_EVENTS} as stage, value as progress, ts from events),
+t as (select distinct cast(c_custkey as varchar) as task_id from customer),
+r as (select task_id, arg_max(stage, (ts, progress, stage)) as stage, arg_max(progress, (ts, progress, stage)) as progress, string_agg(stage, ',' order by ts, progress, stage) as stages from e group by 1)
+select task_id, case coalesce(stage, 'queued') when 'started' then 'running' else coalesce(stage, 'queued') end as status, coalesce(progress, 0.0) as progress, coalesce(stages, '') as stages from t left join r using (task_id)""")
+def task_reports(spark, data):
+    """Tasks with and without events."""
+    tasks = table(spark, data, "customer", "c_custkey").select(F.col("c_custkey").cast("string").alias("task_id"))
+    return ingest.task_reports(tasks, _task_events(spark, data))
+
+
 @query(f"select epoch_us(date_trunc('hour', ts)) as start, {_EVENTS} as stage, count(*) as events from events group by 1, 2")
 def stage_counts(spark, data):
     return ingest.stage_counts(_task_events(spark, data)).withColumn("start", F.unix_micros("start"))

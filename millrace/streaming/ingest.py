@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.functions.text import point_id
 from millrace.session import durable
 
 EVENT_COLUMNS = ["task_id", "source_uri", "stage", "progress", "status", "message", "elapsed_ms", "created_at"]
@@ -190,6 +191,24 @@ def stream_files(spark: SparkSession, path: str, per_trigger: int = 100, glob: s
     return raw.select(F.col("path").alias("source_uri"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), "modificationTime")
 
 
+def submit(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks (task_id, source_uri) for (queue_index, source_uri), and the events that queue them. The same file at the same place has the same id."""
+    tasks = found.select(point_id(F.concat(F.col("queue_index").cast("string"), F.lit("#"), F.coalesce("source_uri", F.lit("")))).alias("task_id"), "source_uri")
+    nothing = F.lit(None)
+    queued = tasks.select(
+        "task_id", "source_uri", F.lit("queued").alias("stage"), F.lit(0.0).alias("progress"), nothing.cast("string").alias("status"), nothing.cast("string").alias("message"), nothing.cast("double").alias("elapsed_ms"), F.current_timestamp().alias("created_at")
+    )
+    return tasks, queued
+
+
+def task_reports(tasks: DataFrame, events: DataFrame) -> DataFrame:
+    """task_id, status, progress, stages (in order of time, then progress, joined by commas) of each task; one without events is queued."""
+    state = task_state(events, tasks).select("task_id", "status", "progress")
+    told = events.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "progress", "stage"))).alias("_e"))  # a task has a handful of events
+    stages = F.array_join(F.transform(F.coalesce("_e", F.expr("cast(array() as array<struct<created_at: timestamp, progress: double, stage: string>>)")), lambda e: e["stage"]), ",")
+    return state.join(told, "task_id", "left").select("task_id", "status", "progress", stages.alias("stages"))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder, on whatever file system."""
     jvm = spark.sparkContext._jvm

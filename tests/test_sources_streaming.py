@@ -128,6 +128,15 @@ def test_ingest_with_cache(spark):
     assert {r.source_uri: r.cached for r in again.results.collect()} == {"kept": True, "bad": False, "changed": True, "remote": False}
 
 
+def test_submitted_tasks_and_their_reports(spark):
+    found = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "queue_index int, source_uri string")
+    tasks, queued = ingest.submit(found)
+    ids = [r.task_id for r in tasks.collect()]
+    assert len(set(ids)) == 3 and ids == [r.task_id for r in ingest.submit(found)[0].collect()]
+    assert {(r.status, r.stages) for r in ingest.task_reports(tasks, queued).collect()} == {("queued", "queued")}
+    assert {(r.status, r.progress, r.stages) for r in ingest.task_reports(tasks, queued.limit(0)).collect()} == {("queued", 0.0, "")}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):

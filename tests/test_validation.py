@@ -67,3 +67,14 @@ def test_retrieval_cases_are_checked(spark):
     for row, said in [(("a", ["x"], {"one": [], "two": []}), "case twice"), ((" ", ["x"], {"one": [], "two": []}), "without id"), (("c", [], {"one": [], "two": []}), "without relevant"), (("c", ["x"], {"one": ["x", "x"], "two": []}), "chunk twice"), (("c", ["x"], {"one": []}), "other strategies")]:
         with pytest.raises(Exception, match=said):
             evals.checked_cases(spark.createDataFrame([*good, row], schema)).collect()
+
+
+def test_missing_rankings_are_errors_if_strict(spark):
+    qrels = spark.createDataFrame([("a", "x"), ("b", "y")], "case_id string, chunk_id string")
+    ranked = spark.createDataFrame([("a", "x", 1), ("b", "z", 1)], "case_id string, chunk_id string, rank int")
+    row = evals.retrieval_metrics(qrels, ranked, strict=True).first()
+    assert (row.recall_at_5, row.cases) == (0.5, 2)
+    with pytest.raises(Exception, match="cases without ranking: b"):
+        evals.retrieval_metrics(qrels, ranked.where("case_id = 'a'"), strict=True).collect()
+    with pytest.raises(Exception, match="there are no cases"):
+        evals.retrieval_metrics(qrels.limit(0), ranked, strict=True).collect()
