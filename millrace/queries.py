@@ -274,9 +274,15 @@ def vector_deleted_count(spark, data):
     return vectors.deleted_count(table(spark, data, "embeddings"), filters.Filter.exact(label=4))
 
 
-@query()
+@query(f"""
+with d as (select row_number() over () as r, chunk_id, t from (select distinct chunk_id, coalesce(content, '') as t from chunks)),
+h as (select r, cast('0x' || substr(md5(term), 1, 8) as bigint) as h from (select r, unnest({_sql(TERMS_SQL, 't')}) as term from d)),
+c as (select r, h % 32 as p, sum(case when (h >> 16) & 1 = 1 then -1 else 1 end) as v from h group by 1, 2), n as (select r, sqrt(sum(v * v)) as n from c group by 1),
+g as (select r, chunk_id, unnest(range(32)) as p from d)
+select chunk_id, list(case when n > 0 then round(cast(cast(coalesce(v, 0) / n as float) as double), 6) else 0.0 end order by p) as embedding from g left join c using (r, p) left join n using (r) group by r, chunk_id""")
 def hashed_embedding(spark, data):
-    return vectors.embed(_chunks(spark, data, "content"), size=32).select("chunk_id", "embedding")
+    rows = vectors.embed(_chunks(spark, data, "content"), size=32)
+    return rows.select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 # --- fusion ---
