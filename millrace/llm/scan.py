@@ -9,7 +9,8 @@ those probabilities, shrunk towards the mean where there is little to go by (one
 of expectation maximisation). Corpus counts cover all rows. Words are counted
 exactly: those above a share of the corpus are known words, of which there can only be
 so many, and go to all tasks; the counts of the others are joined to the pages that
-ask for them. Pairs are kept in two hashed rows of fixed size, read above chance only.
+ask for them. Adjacent pairs are counted exactly too, by keys of 63 bits; those above
+a share of all pairs go to all tasks, the others say no more than chance.
 
 Line ends are part of the channel: a word cut at a line end is joined if the joined
 word is likelier than the compound with its hyphen. Running headers, footers and
@@ -22,11 +23,11 @@ number of pages.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from itertools import chain, islice
 from math import log
 
@@ -38,13 +39,16 @@ from pyspark.sql import functions as F
 from millrace.session import durable
 
 SPLITTERS = ("OcrDocumentParser", "PdfTextParser")
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 18, 1 << 18
+#: A task passes its counts on when it holds more distinct pairs.
+PAIR_BUCKETS = 1 << 18
 #: A word is left alone unless a candidate is so many times likelier as this share of it.
 CONFUSION = 0.02
 #: How alike lines are that recur at an edge, and those behind other furniture.
 LIKE, DEEP_LIKE = 0.78, 0.94
 #: A word is known if it occurs more often than this, in a larger corpus than this share of it.
 LEAST_COUNT, LEAST_SHARE = 4, 1.5e-6
+#: A pair is no chance if it occurs more often than this, in a larger corpus than LEAST_SHARE of all pairs.
+LEAST_PAIRS = 2
 #: Longer runs without a blank are no words; longer lines are compared by their words, not their letters.
 LONGEST_WORD, LONG_LINE = 60, 200
 #: Lines at each edge of a page that are looked at: all but the last of them may be furniture.
@@ -78,22 +82,21 @@ _NUMBER_LINE = re.compile(
 _CJK_NUMBER = re.compile(r"^\W{0,3}第?\s*\d{1,5}\s*[页頁](?:.{0,4}\d{1,5}\s*[页頁])?\W{0,3}$")
 
 
-def _buckets(word: str) -> tuple[int, int]:
-    data = word.encode()
-    return zlib.crc32(data) % WORD_BUCKETS, zlib.adler32(data, zlib.crc32(data, 77)) % WORD_BUCKETS
+def _hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
-class _Places(dict):
-    """Word to its places in the tables; starts anew when it holds very many."""
+class _Hashes(dict):
+    """Word to its hash; starts anew when it holds very many."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        place = self[word] = _buckets(word)
-        return place
+        value = self[word] = _hash(word)
+        return value
 
 
-_places = _Places()
+_hashes = _Hashes()
 
 
 class _Numbers(dict):
@@ -102,18 +105,27 @@ class _Numbers(dict):
         return n
 
 
-def _pair_buckets(a, b):
-    """Places of adjacent words in the two pair tables, from their places in the word tables."""
-    return (a[0] * 2654435761 + b[1] * 40503 + b[0]) % PAIR_BUCKETS, (a[1] * 2246822519 + b[0] * 3266489917 + b[1]) % PAIR_BUCKETS
+def _pair_key(a, b):
+    """Key of two adjacent words, from their hashes (Python's numbers, or arrays of 64 bits)."""
+    return (a * 0x9E3779B97F4A7C15 + b) & 0x7FFFFFFFFFFFFFFF
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each."""
+    keys, of = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, of, n)
+    return keys, sums
 
 
 _STEP = log(CONFUSION)
 
 
 class Counts:
-    """Exact corpus counts of words, and hashed ones of adjacent pairs (the smaller of two rows).
+    """Exact corpus counts of words and adjacent pairs.
 
-    `common` has all known words, `rare` those others that the page at hand asks for.
+    `common` has all known words, `rare` those others that the page at hand asks for. `pairs` has the keys of the pairs
+    that are no chance, in order, and their counts.
     """
 
     def __init__(self, common: dict[str, int], total: int, pairs: np.ndarray, channel: dict[tuple[str, str], float] | None = None):
@@ -123,8 +135,7 @@ class Counts:
         self.rare: dict[str, int] = {}
         self.total = max(float(total), 1.0)
         self.least = least_known(total)
-        #: what a place of the pair table holds by chance
-        self.chance = 3 * float(pairs[0].sum()) / PAIR_BUCKETS + 2
+        self.together: dict[int, int] = {}
         self.meant: dict[str, list[tuple[str, float]]] = {}
 
     def cost(self, read: str, meant: str) -> float:
@@ -133,13 +144,22 @@ class Counts:
     def word(self, w: str) -> int:
         return self.common.get(w) or self.rare.get(w, 0)
 
+    def pair(self, a: str, b: str) -> int:
+        """How often `b` follows `a`; 0 if no more often than by chance."""
+        key = _pair_key(_hashes[a], _hashes[b])
+        if key not in self.together:
+            if len(self.together) > 300_000:
+                self.together.clear()
+            keys, n = self.pairs
+            at = int(np.searchsorted(keys, key))
+            self.together[key] = int(n[at]) if at < len(keys) and keys[at] == key else 0
+        return self.together[key]
+
     def log_likelihood(self, previous: str | None, w: str) -> float:
         p = (self.word(w) + 0.05) / self.total
         if previous:
-            before = self.word(previous)
-            i, j = _pair_buckets(_places[previous], _places[w])
-            together = min(int(self.pairs[0, i]), int(self.pairs[1, j]))
-            if before and together > self.chance:
+            before, together = self.word(previous), self.pair(previous, w)
+            if before and together:
                 p = 0.5 * p + 0.5 * min(1.0, together / before)
         return log(p)
 
@@ -148,20 +168,26 @@ def least_known(total: int) -> float:
     return max(LEAST_COUNT, LEAST_SHARE * total)
 
 
-def corpus_counts(texts: DataFrame, text: str = "content", pairs_where: str = "true") -> tuple[Counts, DataFrame]:
+def corpus_counts(texts: DataFrame, text: str = "content") -> tuple[Counts, DataFrame]:
     """Counts of words (letters with inner hyphens, and the parts of such compounds) and adjacent pairs over all rows; word, n of all words.
 
-    Pairs are counted where `pairs_where` holds. At most 1 / LEAST_SHARE words and two rows of PAIR_BUCKETS reach the driver.
+    At most 1 / LEAST_SHARE words and as many pairs reach the driver.
     """
 
     def rows_of(words: list[str], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(words), 50_000):
             some = pa.array(words[at : at + 50_000], pa.string())
-            yield pa.RecordBatch.from_arrays([some, pa.nulls(len(some), pa.int32()), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "at", "n"])
+            yield pa.RecordBatch.from_arrays([some, pa.nulls(len(some), pa.int64()), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "pair", "n"])
+
+    def rows_of_pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for keys, n in pairs:
+            # the row without a key has the number of all
+            some = pa.concat_arrays([pa.array(keys.astype(np.int64)), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), some, pa.array(np.append(n, n.sum()))], names=["word", "pair", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((2, PAIR_BUCKETS), np.int64)
-        numbers, place, counted = _Numbers(), np.empty((0, 2), np.int64), np.zeros(0, np.int64)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        numbers, hashes, counted = _Numbers(), np.empty(0, np.uint64), np.zeros(0, np.int64)
 
         def words() -> Iterator[pa.RecordBatch]:
             yield from rows_of(list(numbers), counted)
@@ -176,7 +202,7 @@ def corpus_counts(texts: DataFrame, text: str = "content", pairs_where: str = "t
                 batch = whole.slice(at, 2000)
                 if len(numbers) > 500_000:
                     yield from words()
-                    numbers, place, counted = _Numbers(), np.empty((0, 2), np.int64), np.zeros(0, np.int64)
+                    numbers, hashes, counted = _Numbers(), np.empty(0, np.uint64), np.zeros(0, np.int64)
                 found = [_WORD.findall(t.lower()) if t else [] for t in batch.column(0).to_pylist()]
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 known = len(numbers)
@@ -185,30 +211,30 @@ def corpus_counts(texts: DataFrame, text: str = "content", pairs_where: str = "t
                     continue
                 fresh = list(islice(reversed(numbers), len(numbers) - known))[::-1]
                 if fresh:
-                    place = np.concatenate([place, np.array([_buckets(w) for w in fresh], np.int64)])
+                    hashes = np.concatenate([hashes, np.fromiter(map(_hash, fresh), np.uint64, len(fresh))])
                     counted = np.concatenate([counted, np.zeros(len(fresh), np.int64)])
                 counted += np.bincount(seen, minlength=len(numbers))
-                wanted = np.repeat(np.array(batch.column(1).to_pylist(), bool), sizes)
                 of = np.repeat(np.arange(len(found)), sizes)
-                adjacent = np.flatnonzero(wanted[1:] & (of[1:] == of[:-1]))
-                left, right = place[seen[adjacent]].T.astype(np.uint64), place[seen[adjacent + 1]].T.astype(np.uint64)
-                for row, bucket in enumerate(_pair_buckets(left, right)):
-                    pairs[row] += np.bincount(bucket.astype(np.int64), minlength=PAIR_BUCKETS)
+                adjacent = np.flatnonzero(of[1:] == of[:-1])
+                pairs.append(np.unique(_pair_key(hashes[seen[adjacent]], hashes[seen[adjacent + 1]]), return_counts=True))
+                if sum(len(keys) for keys, _ in pairs) > 2 * PAIR_BUCKETS:
+                    pairs = [_summed(*map(np.concatenate, zip(*pairs)))]
+                    if len(pairs[0][0]) > PAIR_BUCKETS:
+                        yield from rows_of_pairs(pairs)
+                        pairs = []
         yield from words()
-        table = pairs.ravel()
-        some = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), pa.array(table[some])], names=["word", "at", "n"])
+        yield from rows_of_pairs(pairs)
 
-    rows = texts.select(F.col(f"`{text}`"), F.coalesce(F.expr(pairs_where), F.lit(False)).alias("p")).mapInArrow(run, "word string, at int, n bigint")
-    rows = durable(rows.groupBy("word", "at").agg(F.sum("n").alias("n")))
+    rows = texts.select(F.col(f"`{text}`")).mapInArrow(run, "word string, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    rows = durable(rows.where((F.col("n") > LEAST_PAIRS) | F.col("word").isNotNull() | F.col("pair").isNull()))
     words = rows.where("word is not null").select("word", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
     common = words.where(F.col("n") > least_known(total)).toArrow()
-    places = rows.where("word is null").select("at", "n").toArrow()
-    table = np.zeros(2 * PAIR_BUCKETS, np.int64)
-    table[places["at"].to_numpy()] = places["n"].to_numpy()
-    table = np.minimum(table, 2**31 - 1).astype(np.int32)
-    return Counts(dict(zip(common["word"].to_pylist(), common["n"].to_pylist())), total, table.reshape(2, -1)), words
+    of_pairs = rows.where("word is null")
+    all_pairs = of_pairs.where("pair is null").agg(F.sum("n")).first()[0] or 0
+    often = of_pairs.where(F.col("pair").isNotNull() & (F.col("n") > max(LEAST_PAIRS, LEAST_SHARE * all_pairs))).select("pair", "n").toArrow()
+    pairs = np.stack([often["pair"].to_numpy(), often["n"].to_numpy()])
+    return Counts(dict(zip(common["word"].to_pylist(), common["n"].to_pylist())), total, pairs[:, pairs[0].argsort()]), words
 
 
 _ONE = {k: t for k, t in CONFUSIONS.items() if len(k) == 1}
@@ -702,9 +728,9 @@ def _pages(chunks: DataFrame) -> DataFrame:
 
 def _read(chunks: DataFrame, pages: DataFrame, schema: str, rows_of) -> DataFrame:
     """`rows_of` each of `pages` (chunk_id, document_id, page, content, title, near), read with the counts of `chunks`."""
-    counts, words = corpus_counts(chunks, "content", f"splitter in ({', '.join(repr(s) for s in SPLITTERS)})")
+    counts, words = corpus_counts(chunks)
     spark = chunks.sparkSession
-    # at most 1 / LEAST_SHARE words, and 2 MB
+    # at most 1 / LEAST_SHARE words, and as many pairs of 16 bytes
     tables = spark.sparkContext.broadcast((counts.common, int(counts.total), counts.pairs))
 
     def edge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

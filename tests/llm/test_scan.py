@@ -158,3 +158,35 @@ def test_whole_contents_and_pages_without_document(spark, tables):
     ]
     alone = scan.page_paragraphs(chunks, titles).where("document_id is null").collect()
     assert [r.content for r in alone] == ["The storage channel"]
+
+
+def test_pairs_of_all_rows_are_counted(spark, tables):
+    chunks, titles = tables
+    filler = [" ".join(f"{w}{c}" for w in ("east", "cast") for c in "abcdefghij")] * 3
+    clean = ["They went to the east wing. "] * 600 + ["It has a cast iron gate. "] * 8 + filler
+    pages = [("q1", "gate", 1, 0, "PdfTextParser", "We saw a cast iron gate\nbehind the cast wing.", "")]
+    rows = [(f"w{i}", f"w{i}", None, 0, "RecursiveSplitter", t, "") for i, t in enumerate(clean)] + [("w", "w", None, 0, "RecursiveSplitter", None, "")]
+    every = chunks.unionByName(spark.createDataFrame(rows + pages, SCHEMA))
+    found = scan.line_defects(every, titles).where("chunk_id = 'q1'").collect()
+    assert [(r.line_no, r.defect) for r in found] == [(2, "misread")]
+    counts, _ = scan.corpus_counts(every)
+    assert [counts.pair(*p) for p in (("the", "east"), ("east", "wing"), ("cast", "iron"), ("iron", "gate"), ("cast", "wing"), ("wing", "they"))] == [600, 600, 9, 9, 0, 0]
+    assert list(counts.pairs[0]) == sorted(set(counts.pairs[0].tolist())) and counts.pairs[1].min() == 3
+
+
+def test_pairs_passed_on_in_parts_are_counted_alike(spark, tables, monkeypatch):
+    chunks = tables[0].unionByName(tables[0])
+    at_once, _ = scan.corpus_counts(chunks.repartition(3))
+    monkeypatch.setattr(scan, "PAIR_BUCKETS", 1)
+    in_parts, _ = scan.corpus_counts(chunks.coalesce(1))
+    assert at_once.pairs.tolist() == in_parts.pairs.tolist() and at_once.pairs.shape[1] > 20
+
+
+def test_long_corpora_know_pairs_by_their_share(spark, tables, monkeypatch):
+    chunks, _ = tables
+    every, _ = scan.corpus_counts(chunks)
+    monkeypatch.setattr(scan, "LEAST_SHARE", 0.01)
+    some, _ = scan.corpus_counts(chunks)
+    texts = [scan._WORD.findall((r.content or "").lower()) for r in chunks.collect()]
+    limit = 0.01 * sum(max(len(t) - 1, 0) for t in texts)
+    assert limit > 2 and sorted(some.pairs[1]) == sorted(n for n in every.pairs[1] if n > limit) != sorted(every.pairs[1])
